@@ -87,11 +87,11 @@ def window_hashes(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, U64)
-    with np.errstate(over="ignore"):
-        acc = np.zeros(n, U64)
-        for k in range(width):
-            acc = mix(acc + h[k : k + n] + U64((seed * 0x9E3779B97F4A7C15 + k) % 2**64))
-        return acc
+    factors = mix(np.arange(width, dtype=U64) * U64(2) + U64(1 + 2**20 * seed)) | U64(1)
+    acc = h[:n] * factors[0]
+    for k in range(1, width):
+        acc += h[k : k + n] * factors[k]
+    return mix(acc)
 
 
 def table_rows(batches: Iterable[pa.RecordBatch], handle: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

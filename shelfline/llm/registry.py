@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import byte_bpe, packing
+from shelfline.llm import byte_bpe, packing, sql, substring
 from shelfline.llm.common import load
 
 
@@ -20,6 +20,10 @@ def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_difference_cover_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(load(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,8 +31,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op5_byte_bpe)}
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_difference_cover_substring_dedup": sql.OP4}
