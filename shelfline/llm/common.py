@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,25 +53,6 @@ def py_crc_mod(value: int | None, n: int) -> int:
     return 0 if value is None else zlib.crc32(str(value).encode()) % n
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, remembered up to a bound."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), dtype=U64, count=len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = x ^ (x >> U64(30))
@@ -82,6 +62,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: ASCII white space, which ends words; and a random value of each byte.
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
+_LOWER_BYTE = _BYTE.copy()
+_LOWER_BYTE[65:91] = _BYTE[97:123]
+_powers = np.ones(1, U64)
+#: Bytes that are hashed at once.
+_BLOCK = 1 << 20
+
+
+def _power(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) < n:
+        _powers = np.concatenate([np.ones(1, U64), np.cumprod(np.full(2 * n, 0xD6E8FEB86659FD93, U64))])
+    return _powers
+
+
+def _hash_block(raw: list[bytes], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    word = ~_SPACE[data]
+    starts = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+    ends = np.flatnonzero(word & ~np.concatenate([word[1:], [False]])) + 1
+    bounds = np.cumsum([len(r) + 1 for r in raw])
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], bounds])))
+    if not len(starts):
+        return np.empty(0, U64), counts
+    size = ends - starts
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    h = np.add.reduceat(values[data[word]] * _power(int(size.max()))[place], first)
+    return mix(h + size.astype(U64) * U64(0x2545F4914F6CDD1D)), counts
+
+
+def text_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space) of all texts in a row, and each text's number of them.
+
+    ``lower`` takes A-Z as a-z."""
+    values = _LOWER_BYTE if lower else _BYTE
+    hashes, counts, raw, size = [], [], [], 0
+    for n, text in enumerate(texts, 1):
+        raw.append((text or "").encode())
+        size += len(raw[-1]) + 1
+        if size >= _BLOCK or n == len(texts):
+            h, c = _hash_block(raw, values)
+            hashes.append(h)
+            counts.append(c)
+            raw, size = [], 0
+    return (np.concatenate(hashes), np.concatenate(counts).astype(np.int64)) if hashes else (np.empty(0, U64), np.empty(0, np.int64))
+
+
 def window_hashes(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     """Hash of each run of ``width`` consecutive word hashes (empty where there are fewer words)."""
     n = len(h) - width + 1

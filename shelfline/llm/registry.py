@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfline.llm import byte_bpe, packing, sql, substring
+from shelfline.llm import byte_bpe, minhash, packing, sql, substring
 from shelfline.llm.common import load
 
 
@@ -30,9 +30,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_super_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe)}
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe, op8_super_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_difference_cover_substring_dedup": sql.OP4}
+    return {"op4_difference_cover_substring_dedup": sql.OP4, "op8_super_minhash_near_dedup": sql.OP8}

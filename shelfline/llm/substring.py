@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfline.llm.common import NULL_ID, U64, materialize, window_hashes, word_hashes
+from shelfline.llm.common import NULL_ID, U64, materialize, text_words, window_hashes
 
 WINDOW = 13
 #: A perfect difference set: each residue mod 7 is a difference of two of its members.
@@ -68,16 +68,13 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, carry: list[str], chunk_
 class Chunk:
     """The words of a chunk's documents in a row, as hashes."""
 
-    def __init__(self, payload: bytes, window: int) -> None:
+    def __init__(self, payload: bytes) -> None:
         with pa.ipc.open_stream(payload) as stream:
             self.table = stream.read_all()
         ids = self.table.column(0).to_pylist()
         self.texts = [t or "" for t in self.table.column(1).to_pylist()]
-        words = [t.encode().split() for t in self.texts]
-        self.counts = np.array([len(w) for w in words], np.int64)
+        self.h, self.counts = text_words(self.texts)
         self.ids = np.array([NULL_ID if i is None else i for i in ids], np.int64)
-        self.h = word_hashes([w for ws in words for w in ws])
-        self.words = words
         self.doc = np.repeat(np.arange(len(ids)), self.counts)
         starts = np.cumsum(self.counts) - self.counts
         self.place = np.arange(len(self.h)) - starts[self.doc]
@@ -236,14 +233,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_id, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                _, _, bucket, h, many = _anchor_groups(Chunk(payload.as_py(), window), window, buckets)
+                _, _, bucket, h, many = _anchor_groups(Chunk(payload.as_py()), window, buckets)
                 h = six_bytes(h)
                 yield from _ask([(chunk_id, b, h[s].tobytes(), np.packbits(many[s]).tobytes()) for b, s in _per_bucket(bucket)])
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk_id, payload, answers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                chunk = Chunk(payload.as_py(), window)
+                chunk = Chunk(payload.as_py())
                 _, _, _, bucket, h1, h2, low = _window_groups(chunk, window, _shared_at(chunk, window, buckets, answers), buckets)
                 rows = np.empty(len(h1), np.dtype([("h1", "<u8"), ("h2", "<u4")]))
                 rows["h1"], rows["h2"] = h1, h2
@@ -252,7 +249,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, anchors, answers in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                chunk = Chunk(payload.as_py(), window)
+                chunk = Chunk(payload.as_py())
                 at, doc, key, bucket, _, _, low = _window_groups(chunk, window, _shared_at(chunk, window, buckets, anchors), buckets)
                 gone = np.zeros(len(chunk.h) + 1, np.int64)
                 if len(at):
@@ -261,7 +258,8 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
                     np.subtract.at(gone, hit + window, 1)
                 kept = np.split(np.cumsum(gone[:-1]) == 0, np.cumsum(chunk.counts)[:-1]) if len(chunk.counts) else []
                 texts, shas, removed = [], [], []
-                for text, words, keep in zip(chunk.texts, chunk.words, kept, strict=True):
+                for text, keep in zip(chunk.texts, kept, strict=True):
+                    words = text.encode().split()
                     lost = len(words) - int(keep.sum())
                     left = [w for w, k in zip(words, keep.tolist(), strict=True) if k] if lost else words
                     shas.append(hashlib.sha256(b" ".join(left)).hexdigest())
