@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfline.llm import byte_bpe, minhash, packing, sql, substring
+from shelfline.llm import byte_bpe, lines, minhash, packing, sql, substring
 from shelfline.llm.common import load
 
 
@@ -30,13 +31,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(load(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_deletion_neighbourhood_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = lines.dedup(load(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_super_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe, op8_super_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe, op7_deletion_neighbourhood_line_dedup, op8_super_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_difference_cover_substring_dedup": sql.OP4, "op8_super_minhash_near_dedup": sql.OP8}
+    return {"op4_difference_cover_substring_dedup": sql.OP4, "op7_deletion_neighbourhood_line_dedup": sql.OP7, "op8_super_minhash_near_dedup": sql.OP8}

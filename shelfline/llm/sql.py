@@ -32,3 +32,25 @@ low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN low USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+OP7 = r"""
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS line, list_filter(regexp_split_to_array(ls[i], '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+t AS (SELECT doc_id, i, ws, row_number() OVER (ORDER BY doc_id, i) AS o FROM l WHERE len(ws) > 0),
+d AS MATERIALIZED (SELECT ws, min(o) AS o FROM t GROUP BY ws),
+v AS MATERIALIZED (
+  SELECT o, len(ws) AS n, j, list_concat(ws[1:j - 1], ws[j + 1:]) AS k
+  FROM (SELECT o, ws, unnest(range(1, len(ws) + 1)) AS j FROM d WHERE len(ws) >= 8)),
+near AS (
+  SELECT a.o FROM v a JOIN (SELECT k, n, j, min(o) AS o FROM v GROUP BY ALL) b USING (k, n, j) WHERE b.o < a.o
+  UNION SELECT greatest(v.o, d.o) FROM v JOIN d ON v.k = d.ws WHERE len(d.ws) >= 8),
+lost AS (
+  SELECT t.o FROM t JOIN d USING (ws) WHERE d.o < t.o UNION SELECT o FROM near),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t, count(*) AS n
+  FROM l LEFT JOIN t USING (doc_id, i) WHERE o IS NULL OR o NOT IN (SELECT o FROM lost) GROUP BY doc_id)
+SELECT documents.doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines,
+       CAST(len(string_split(text, chr(10))) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
