@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfline.llm import byte_bpe, lines, minhash, packing, sql, substring
+from shelfline.llm import byte_bpe, language, lines, minhash, packing, quality, sql, substring
 from shelfline.llm.common import load
 
 
@@ -40,8 +40,17 @@ def op8_super_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op9_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_positive_unlabelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe, op7_deletion_neighbourhood_line_dedup, op8_super_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_cost_balanced_packing, op4_difference_cover_substring_dedup, op5_byte_bpe, op7_deletion_neighbourhood_line_dedup, op8_super_minhash_near_dedup, op9_mixture_language_id, op10_positive_unlabelled_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
