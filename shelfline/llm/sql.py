@@ -54,3 +54,38 @@ SELECT documents.doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_l
        CAST(len(string_split(text, chr(10))) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+OP2 = """
+WITH RECURSIVE e AS MATERIALIZED (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.v, b.v) / (a.n * b.n) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM low LEFT JOIN n USING (vec_id)
+"""
+
+OP3 = """
+WITH ask AS (
+  SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level
+  FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+ans AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+c AS (
+  SELECT ask.conv_id, 'call_' || ask.turn AS call_id, ask.turn AS place, if(ans.turn IS NULL, 'unanswered', 'linked') AS status,
+         level, length(ask.text) > 0 AS valid,
+         '{"arguments":{"n_chars":' || length(ask.text) || ',"text":' || to_json(ask.text) || ',"turn":' || ask.turn || '},"id":"call_' || ask.turn
+         || '","name":"reply","result":' || coalesce(CAST(to_json(ans.text) AS VARCHAR), 'null')
+         || ',"uses":[' || if(before IS NULL, '', '"call_' || before || '"') || ']}' AS j
+  FROM ask LEFT JOIN ans ON ans.conv_id = ask.conv_id AND ans.turn = ask.turn + 1)
+SELECT conv_id, call_id, CAST(place AS BIGINT) AS place, status, CAST(level AS INTEGER) AS level, valid, sha256(j) AS json_sha256 FROM c
+UNION ALL
+SELECT conv_id, 'call_' || (turn - 1), CAST(turn AS BIGINT), 'orphan', 0, false, sha256('')
+FROM ans WHERE NOT EXISTS (SELECT 1 FROM ask WHERE ask.conv_id = ans.conv_id AND ask.turn = ans.turn - 1)
+"""
