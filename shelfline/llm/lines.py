@@ -41,6 +41,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "own_hash": F.hash(F.col(text_col)).cast("long")})
 
 
+#: Bits of the map by which rows that no join can hit are kept out of its shuffle: 8 MB, whatever the size of the tables.
+MAP_BITS = 1 << 26
+
+
+def _slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(MAP_BITS))
+
+
+def bit_map(rows: DataFrame, *keys: str) -> DataFrame:
+    """``(bucket, bits)``: a map of the keys' hashes with at most MAP_BITS / 32768 rows of 4 KB."""
+    at = _slot(*keys)
+    return rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def marked(rows: DataFrame, map_: DataFrame, *keys: str) -> DataFrame:
+    """The rows with a column ``hit``: false for none whose keys are in the map; its size is bounded, so it is broadcast."""
+    at = F.bitmap_bit_position(_slot(*keys))
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, (at % 8).cast("int"))
+    out = rows.withColumn("bucket", F.bitmap_bucket_number(_slot(*keys))).join(F.broadcast(map_), "bucket", "left")
+    return out.withColumn("hit", F.coalesce(bit == 1, F.lit(False))).drop("bucket", "bits")
+
+
 def _exploded(keyed: DataFrame, text_col: str) -> DataFrame:
     lines = keyed.select("own_id", "own_hash", F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     place = F.shiftleft("own_hash", 32).bitwiseOR(F.col("pos").cast("long"))
@@ -71,11 +94,11 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
 
     runs = earliest.where("first is not null").select("own_id", "place", F.explode(F.array("first", "last")).alias("run"))
     shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    chosen = runs.join(shared, "run").select("own_id", F.shiftright("place", 32).alias("own_hash"), F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-    chosen = chosen.groupBy("own_id", "own_hash").agg(F.collect_set("pos").alias("chosen"))
-    picked = keyed.select("own_id", "own_hash", text_col).join(chosen, ["own_id", "own_hash"]).select("own_id", "own_hash", F.split(text_col, "\n", -1).alias("all"), "chosen")
-    picked = picked.select("own_id", "own_hash", "all", F.explode("chosen").alias("pos"))
-    picked = picked.select("own_id", F.shiftleft("own_hash", 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), words_of(F.element_at("all", F.col("pos") + 1)).alias("words")).distinct()
+    chosen = materialize(runs.join(shared, "run").select("own_id", "place").distinct(), "chosen")
+    texts = keyed.select("own_id", "own_hash", F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    texts = texts.select("own_id", F.shiftleft("own_hash", 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "line")
+    texts = marked(texts, bit_map(chosen, "own_id", "place"), "own_id", "place").where("hit").drop("hit")
+    picked = texts.join(chosen, ["own_id", "place"]).select("own_id", "place", words_of(F.col("line")).alias("words")).distinct()
     picked = materialize(picked, "picked")
 
     # of n words the first or the last half is spared; a line with one word more has the same halves one level below
@@ -110,8 +133,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
     carry = [c for c in carry if c not in (id_col, text_col)]
     gone = duplicate_lines(docs, id_col, text_col, min_words)
     gone = gone.groupBy("own_id", F.shiftright("place", 32).alias("own_hash")).agg(F.sort_array(F.collect_set(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))).alias("removed"))
-    keyed = _keyed(docs.select(*carry, id_col, text_col), id_col, text_col)
-    both = keyed.join(gone, ["own_id", "own_hash"], "left").withColumn("all", F.split(text_col, "\n", -1))
+    gone = materialize(gone, "removed")
+    keyed = marked(_keyed(docs.select(*carry, id_col, text_col), id_col, text_col), bit_map(gone, "own_id", "own_hash"), "own_id", "own_hash")
+    # documents that keep all lines don't go through the join's shuffle
+    both = keyed.where("hit").join(gone, ["own_id", "own_hash"], "left").unionByName(keyed.where("not hit").withColumn("removed", F.lit(None).cast("array<int>"))).withColumn("all", F.split(text_col, "\n", -1))
     # the removed numbers are in order, so what lies between two of them is kept whole
     ends = F.concat("removed", F.array(F.size("all")))
     kept = F.flatten(F.transform(ends, lambda end, k: F.slice("all", F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, k)) + F.when(k == 0, F.lit(1)).otherwise(F.lit(2)), end - F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, k) + 1))))
