@@ -121,8 +121,8 @@ def next_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH change AS (SELECT id, CASE WHEN status = 3 THEN 4 ELSE status END AS status, update_time_ns + 5 AS update_time_ns FROM job WHERE id % 6 = 0
                 UNION ALL SELECT id + 100000000, status, update_time_ns FROM job WHERE id % 60 = 0),
-both AS (SELECT id, status, update_time_ns FROM job WHERE id % 5 <> 0 UNION ALL SELECT * FROM change)
-SELECT id, arg_max(status, update_time_ns) AS status, max(update_time_ns) AS update_time_ns FROM both GROUP BY id""",
+every AS (SELECT id, status, update_time_ns FROM job WHERE id % 5 <> 0 UNION ALL SELECT * FROM change)
+SELECT id, arg_max(status, update_time_ns) AS status, max(update_time_ns) AS update_time_ns FROM every GROUP BY id""",
     "job",
 )
 def job_feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,10 +585,10 @@ def source_crumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "i", "c.name", "c.path")
 
 
-@query("SELECT doc_id, lower(signature) AS signature, CAST(size AS DECIMAL(20,0)) AS size_read FROM content", "content")
+@query("SELECT doc_id, lower(signature) AS signature, CAST(size AS BIGINT) AS size_read FROM content", "content")
 def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = d.contents(spark, sf_dir)
-    return c.select("doc_id", values.hex_lower(F.col("signature")).alias("signature"), values.unsigned(F.substring("signature", 34, 8)).alias("size_read"))
+    return c.select("doc_id", values.hex_lower(F.col("signature")).alias("signature"), values.unsigned(F.substring("signature", 34, 8)).cast("long").alias("size_read"))
 
 
 @query("""
