@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-POINTER = "_current"
+#: Readers skip names that begin with an underscore or a dot, so this one has neither.
+POINTER = "CURRENT.json"
 
 
 class Catalog:
