@@ -158,13 +158,32 @@ def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(node[keep])], names=["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The groups of all links of a partition."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch.column(0).to_numpy(zero_copy_only=False))
+        b.append(batch.column(1).to_numpy(zero_copy_only=False))
+    if a:
+        node, root = find_groups(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component_id"])
+
+
+#: Up to so many links are grouped by a single task, in some 100 MB; beyond, rounds over all tasks take over.
+ONE_TASK_LINKS = 1_000_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
     """Connected components of the links ``(a long, b long)``: ``(node, component_id)``, the smallest node reachable.
 
-    Each batch is first reduced to stars, so a group of n links never costs more than n rows; then large-star and
-    small-star rounds alternate on tables in the shared folder until nothing moves. Nodes without a link don't appear."""
+    Each batch is first reduced to stars, so a group of n links never costs more than n rows. If few links are left,
+    one task groups them; else large-star and small-star rounds alternate on tables in the shared folder until nothing
+    moves. Nodes without a link don't appear."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-    stars = materialize(edges.mapInArrow(_local_stars, "a long, b long").distinct(), "links")
+    stars = materialize(edges.mapInArrow(_local_stars, "a long, b long"), "links")
+    if stars.count() <= one_task_links:
+        return stars.coalesce(1).mapInArrow(_whole_groups, "node long, component_id long")
+    stars = stars.distinct()
 
     def hub(links: DataFrame, down: bool) -> DataFrame:
         both = links if down else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from shelfline.llm.common import U64, components, materialize, mix, text_words, window_hashes
 
 BANDS, ROWS = 32, 4
+#: Words of 64 bits in a set's bitmap.
+BITMAP_LONGS = 16
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -90,16 +92,30 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(node, members)``: the whole shingle sets of the documents in ``wanted`` (node)."""
+    """``(node, members, bits)``: the whole shingle sets of the documents in ``wanted`` (node), and a bitmap of each by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)], pa.binary())], names=["node", "members"])
+                sets = shingle_sets(batch.column(1).to_pylist(), width)
+                bits = np.zeros((len(sets), BITMAP_LONGS * 64), bool)
+                for row, s in zip(bits, sets, strict=True):
+                    row[mix(s + U64(99)) % U64(BITMAP_LONGS * 64)] = True
+                longs = np.packbits(bits, axis=1).view(">i8").astype(np.int64).ravel()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(longs), BITMAP_LONGS).cast(pa.list_(pa.int64()))], names=["node", "members", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, members binary")
+    return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, members binary, bits array<long>")
+
+
+def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    both = np.concatenate([s, t])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -109,14 +125,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             hit = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-                    hit.append(False)
-                    continue
-                both = np.concatenate([s, t])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                hit.append(100 * common >= percent * (len(both) - common))
+                hit.append(_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent))
             mask = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
@@ -124,59 +133,99 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(node, bits, shared)``: the bitmap, and how many shingles of each node (node, n_shingles) some other of the nodes has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                members = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(m) for m in members])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(node)], names=["shingle", "node"])
+
+    rows = sets.select("node", "members").join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "shingle long, node long")
+    own = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("own"))
+    return nodes.join(own, "node", "left").join(sets.select("node", "bits"), "node").select("node", "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _reaching(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, node, group, n_shingles, slack) that some row of another group in their bucket can be linked with.
+
+    Sets of n and m with at most s and r shared shingles can be linked only if both slacks, (100 + percent) * s - percent * n
+    and the other's, reach percent times the other's size. So a row needs a size and a slack outside its group that
+    suit its own; the best of each is found with the best group's and the best of all other groups'."""
+    best = rows.groupBy("key").agg(F.min(F.struct("n_shingles", "group")).alias("small"), F.max(F.struct("slack", "group")).alias("wide"))
+    rows_ = rows.join(best, "key")
+    other = rows_.groupBy("key").agg(F.min(F.when(F.col("group") != F.col("small.group"), F.col("n_shingles"))).alias("next_small"), F.max(F.when(F.col("group") != F.col("wide.group"), F.col("slack"))).alias("next_wide"))
+    rows_ = rows_.join(other, "key")
+    small = F.when(F.col("group") != F.col("small.group"), F.col("small.n_shingles")).otherwise(F.col("next_small"))
+    wide = F.when(F.col("group") != F.col("wide.group"), F.col("wide.slack")).otherwise(F.col("next_wide"))
+    return rows_.where((F.col("slack") >= percent * small) & (wide >= percent * F.col("n_shingles"))).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, hubs: int = 4) -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` a row of ``docs``; linked are sets with 100 * intersection >= percent * union.
 
     Rows with one shingle set fall together first, by a pre-aggregated grouping. Of the distinct sets, those that share
     a band key are candidates: at the threshold 0.8 and 32 bands of 4 rows, 5 pairs in 100 million are missed. A band
     bucket isn't expanded into all its pairs. Its most central set (the one with most mass over all its buckets) is
-    checked against all members; links group the sets; and buckets that still hold several groups go on with more
-    members as hubs, each round twice as many, checked against the members of other groups only, until each bucket is
-    one group or all its pairs of groups are checked. So a group of n near copies costs about n checks, and no
-    link between two groups is lost. Every link is confirmed on whole sets.
+    checked against all members, and links group the sets. Buckets that still hold several groups go on:
+
+    * Of each set left in one, the shingles are counted that no other such set has. A set of n with s shared ones reaches
+      at most s / (n + m - s) with a set of m; members that can't reach the threshold with any other group of their
+      bucket leave it. This rules out the distant copies of a large group without comparing them.
+    * More members become hubs, each round eight times as many, and are checked against the members of other groups that
+      this bound and another one from bitmaps of both sets allow.
+
+    That ends when each bucket is one group or all that can be linked in it is checked. So a group of n near copies costs
+    about n checks, and no link between two groups is lost. Every link is confirmed on whole sets.
 
     Nulls: a null or empty text has an empty set and is linked with nothing. A null id has no links, a null component
     and is kept. Rows that share an id are one document with several texts. An empty table gives an empty result."""
     own = materialize(signatures(docs, id_col, text_col, width, bands, rows), "signatures")
     real = own.where("n_shingles > 0 and id is not null")
     classes = materialize(real.groupBy("set1", "set2", "n_shingles").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "classes")
-    exploded = classes.select("node", F.explode("keys").alias("key"))
+    exploded = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
     crowds = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(crowds, "key"), "buckets")
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     sets = materialize(stored_sets(docs, mass.select("node"), id_col, text_col, width), "sets")
-    members = materialize(members.join(mass, "node"), "members")
-
-    group, links, turn = None, None, 0
+    central = F.struct((-F.col("mass")).alias("order"), "node")
+    open_ = materialize(members.join(mass, "node").withColumn("group", F.col("node")), "members")
+    lead = open_.groupBy("key").agg(F.min(central).alias("hub")).select("key", F.col("hub.node").alias("hub"))
+    pairs = open_.join(lead, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links, group, turn = None, None, 0
+    u = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30)
     while True:
-        now = members if group is None else members.join(group, "node", "left").withColumn("group", F.coalesce("component_id", "node")).drop("component_id")
-        now = now.withColumn("group", F.col("node")) if group is None else now
-        rank = F.struct((-F.col("mass")).alias("order"), "node")
-        crowd = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min(rank).alias("hub")).where("low < high")
-        u = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30)
-        open_ = materialize(now.join(crowd.select("key", F.col("hub.node").alias("hub")), "key").withColumn("u", u), "open")
-        if open_.isEmpty():
-            break
-        if turn == 0:
-            pairs = open_.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        else:
-            low, high = hubs * (2 ** (turn - 1) - 1), hubs * (2**turn - 1)
-            leads = open_.where((F.col("u") * F.col("n") >= low) & (F.col("u") * F.col("n") < high)).select("key", F.col("node").alias("a"), F.col("group").alias("own"), F.col("u").alias("lead"))
-            pairs = open_.join(leads, "key").where((F.col("group") != F.col("own")) & ((F.col("u") > F.col("lead")) | (F.col("u") == F.col("lead")) & (F.col("node") > F.col("a")))).select("a", F.col("node").alias("b"))
-            if open_.where(F.col("u") * F.col("n") >= low).isEmpty():
-                break
         found = materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "verified")
         links = found if links is None else links.unionByName(found)
-        if turn == 0 or not found.isEmpty():
-            group = materialize(components(links).withColumnRenamed("node", "node"), "groups")
+        if group is None or not found.isEmpty():
+            group = materialize(components(links), "groups")
         turn += 1
+        now = open_.drop("group").join(group, "node", "left").withColumn("group", F.coalesce("component_id", "node")).drop("component_id")
+        several = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+        now = materialize(now.drop("shared", "slack", "u", "bits").join(several, "key"), "open")
+        if now.isEmpty():
+            break
+        shared = shared_sizes(now.groupBy("node").agg(F.first("n_shingles").alias("n_shingles")), sets)
+        now = now.join(shared, "node").withColumns({"slack": (100 + percent) * F.col("shared") - percent * F.col("n_shingles"), "u": u})
+        open_ = materialize(_reaching(now, percent), "reaching")
+        low, high = hubs * (8 ** (turn - 1) - 1), hubs * (8**turn - 1)
+        if open_.where(F.col("u") * F.col("n") >= low).isEmpty():
+            break
+        leads = open_.where((F.col("u") * F.col("n") >= low) & (F.col("u") * F.col("n") < high))
+        leads = leads.select("key", F.col("node").alias("a"), F.col("group").alias("own"), F.col("u").alias("lead"), F.col("slack").alias("s"), F.col("n_shingles").alias("m"), F.col("bits").alias("lead_bits"))
+        possible = (F.col("slack") >= percent * F.col("m")) & (F.col("s") >= percent * F.col("n_shingles"))
+        possible &= (F.col("group") != F.col("own")) & ((F.col("u") > F.col("lead")) | (F.col("u") == F.col("lead")) & (F.col("node") > F.col("a")))
+        # a bit that only one bitmap has is a shingle that only that set has
+        only = lambda x, y: sum((F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITMAP_LONGS)), F.lit(0))
+        common = F.least(F.col("m") - only("lead_bits", "bits"), F.col("n_shingles") - only("bits", "lead_bits"))
+        possible &= 100 * common >= percent * (F.col("m") + F.col("n_shingles") - common)
+        pairs = open_.join(leads, open_["key"] == leads["key"]).where(possible).select("a", F.col("node").alias("b"))
 
     # A class has the smallest id of its rows as its node, so joining on the set's name carries groups to all copies.
-    named = classes.select("set1", "set2", "n_shingles", "node")
-    if group is not None:
-        named = named.join(group, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-    else:
-        named = named.withColumn("component_id", F.col("node"))
+    named = classes.select("set1", "set2", "n_shingles", "node").join(group, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
     rows_ = own.drop("keys").join(named.drop("node"), ["set1", "set2", "n_shingles"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return rows_.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
