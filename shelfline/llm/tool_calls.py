@@ -4,10 +4,10 @@ Calls and results meet in a hash join on (conversation, call id). A call's argum
 schema of its tool. Calls are ordered topologically: after those whose results they use, else as they stand in the
 conversation. Each becomes one canonical JSON object: keys sorted, no spaces, characters beyond ASCII kept.
 
-The order comes from levels: a call that uses no other has level 0, any other one more than its highest. Levels grow by
-one a round over all conversations at once, on tables in the shared folder; there are as many rounds as the longest
-chain. Calls that a round leaves without progress wait for each other and get the level -1 and an error. No
-conversation is gathered in one task.
+The order comes from levels: a call that uses no other has level 0, any other one more than its highest. They are found
+over all conversations at once, on tables in the shared folder: chains in as many rounds as the logarithm of their
+length, calls that use several others one line of these a round. Calls that wait for each other, or for such, get the
+level -1 and an error. No conversation is gathered in one task.
 
 Nulls: a call without conversation or id is linked with nothing; null arguments count as an empty object; arguments that
 are no JSON object are an error. Of calls (or results) that share an id the earliest stands, others are marked repeated.
@@ -71,30 +71,40 @@ def canonical(value: object) -> str:
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """``(conv, call_id, level)`` of calls ``(conv, call_id, uses array<string>)``, whose ids are distinct in a conversation."""
+    """``(conv, call_id, level)`` of calls ``(conv, call_id, uses array<string>)``, whose ids are distinct in a conversation.
+
+    Calls that use one other form chains, which pointer doubling shortens: after r rounds a call points 2^r calls back, or
+    to the end of its chain, a call that uses none or several. Only the latter then settle in rounds, as many as the
+    longest line of such calls. What waits for itself has the level -1."""
     edges = materialize(calls.select("conv", "call_id", F.explode("uses").alias("used")).distinct().join(calls.select("conv", F.col("call_id").alias("used")), ["conv", "used"], "left_semi"), "uses")
-    done = calls.join(edges, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level"))
+    free = calls.join(edges, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(0).alias("level"))
     if edges.isEmpty():
-        return done
-    done, waiting, level = materialize(done, "level"), edges, 0
-    parts = [done]
-    while True:
-        waiting = materialize(waiting.join(done.select("conv", F.col("call_id").alias("used")), ["conv", "used"], "left_anti").select("conv", "call_id", "used"), "waiting")
-        level += 1
-        still = waiting.select("conv", "call_id").distinct()
-        settled = parts[0].select("conv", "call_id")
-        for p in parts[1:]:
-            settled = settled.unionByName(p.select("conv", "call_id"))
-        done = edges.select("conv", "call_id").distinct().join(still, ["conv", "call_id"], "left_anti").join(settled, ["conv", "call_id"], "left_anti")
-        done = materialize(done.select("conv", "call_id", F.lit(level).alias("level")), "level")
-        if done.isEmpty():
-            parts.append(still.select("conv", "call_id", F.lit(-1).alias("level")))
-            break
-        parts.append(done)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return free
+    counted = edges.groupBy("conv", "call_id").agg(F.count("*").alias("n"), F.min("used").alias("end"))
+    chains = materialize(counted.where("n = 1").select("conv", "call_id", "end", F.lit(1).cast("long").alias("far"), F.lit(True).alias("moves")), "chains")
+    many = materialize(counted.where("n > 1").select("conv", "call_id"), "many")
+    total, covered = chains.count(), 1
+    while covered <= 2 * total and not chains.where("moves").isEmpty():
+        ahead = chains.select("conv", F.col("call_id").alias("end"), F.col("end").alias("next"), F.col("far").alias("more"))
+        chains = materialize(chains.join(ahead, ["conv", "end"], "left").select("conv", "call_id", F.coalesce("next", "end").alias("end"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moves")), "chains")
+        covered *= 2
+    # what still moves after as many steps as there are calls goes round in a circle
+    ended = chains.where("not moves").select("conv", "call_id", "end", "far")
+    known = materialize(free, "level")
+    if not many.isEmpty():
+        of = ended.select("conv", F.col("call_id").alias("used"), "end", "far")
+        needs = edges.join(many, ["conv", "call_id"], "left_semi").join(of, ["conv", "used"], "left").join(chains.where("moves").select("conv", F.col("call_id").alias("used"), F.lit(True).alias("circle")), ["conv", "used"], "left")
+        needs = materialize(needs.select("conv", "call_id", F.when(F.col("circle").isNull(), F.coalesce("end", "used")).alias("end"), F.coalesce("far", F.lit(0)).alias("far")), "needs")
+        while True:
+            each = needs.join(known.withColumnRenamed("call_id", "end"), ["conv", "end"], "left")
+            ready = each.groupBy("conv", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all"), (F.max(F.col("level") + F.col("far")) + 1).cast("int").alias("level")).where("all").select("conv", "call_id", "level")
+            new = materialize(ready.join(known, ["conv", "call_id"], "left_anti"), "ready")
+            if new.isEmpty():
+                break
+            known = materialize(known.unionByName(new), "level")
+    tails = ended.join(known.select("conv", F.col("call_id").alias("end"), "level"), ["conv", "end"]).select("conv", "call_id", (F.col("level") + F.col("far")).cast("int").alias("level"))
+    found = materialize(known.unionByName(tails), "level")
+    return found.unionByName(calls.join(found, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(-1).alias("level")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -115,3 +115,23 @@ def test_long_chain_of_calls(spark):
     calls = spark.createDataFrame([(1, f"c{i}", 10 - i, "add", '{"a":1}', [f"c{i - 1}"] if i else [], "") for i in range(6)], CALLS)
     got = {r["call_id"]: r["level"] for r in tool_calls.link(calls, spark.createDataFrame([], RESULTS), SCHEMAS).collect()}
     assert got == {f"c{i}": i for i in range(6)}
+
+
+def test_levels_of_mixed_graphs(spark):
+    import random
+
+    r, rows, want = random.Random(8), [], {}
+    for conv in range(12):
+        names = [f"n{i}" for i in range(25)]
+        uses = {n: r.sample(names[:i], min(i, r.choice([0, 1, 1, 1, 2, 3]))) for i, n in enumerate(names)}
+        if conv % 3 == 0:
+            uses["n5"], uses["n7"] = ["n9"], ["n7"]
+        level = {}
+        for _ in names:
+            level = {n: 1 + max((level[u] for u in us), default=-1) for n, us in uses.items() if all(u in level for u in us)} | level
+        want |= {(conv, n): level.get(n, -1) for n in names}
+        rows += [(conv, n, [*us, "unknown"]) for n, us in uses.items()]
+    rows += [(50, f"c{i}", [f"c{i - 1}"] if i else []) for i in range(70)]
+    want |= {(50, f"c{i}"): i for i in range(70)}
+    got = {(x["conv"], x["call_id"]): x["level"] for x in tool_calls.levels(spark.createDataFrame(rows, "conv long, call_id string, uses array<string>")).collect()}
+    assert got == want
