@@ -10,7 +10,7 @@ Vectors are compared within a label (and a dimension). On the unit sphere a cosi
    centres are further apart than both covering radii and the bound, and counted whole if no pair of theirs can
    be beyond it. What is left is compared in double precision.
 
-A task emits one row a vector, its number of links and the smallest vector of its group, never its pairs.
+Labels are taken to be few: the driver keeps a centre or more of each. A task emits one row a vector, its number of links and the smallest vector of its group, never its pairs.
 
 Nulls: a vector that is null, all zero or holds a null or non-finite component, and one with a null label, is linked with
 nothing. A row with a null id is its own group. Rows that share an id are one vector in groups, while each counts as a
