@@ -324,6 +324,12 @@ def restore_greedy_3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore.greedy_cover(_pairs(spark, sf_dir), max_steps=3)
 
 
+@query()
+def restore_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole cover, until no file is left; its first three steps are ``restore_greedy_3``."""
+    return restore.greedy_cover(_pairs(spark, sf_dir))
+
+
 @query()
 def restore_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of a fifth of the part files, for a quick test; ``restore_plan_all`` plans them all."""

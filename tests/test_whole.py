@@ -47,3 +47,12 @@ def test_restore_plan_all_against_brute_force(spark, sf_dir):
         expected += [(step, tape, n, f, *first[tape, f]) for n, f in enumerate(files, 1)]
     assert [(r["step"], r["tape_id"], r["seq"], r["file_id"], r["position_id"], r["tape_path"]) for r in got] == expected
     assert {r["file_id"] for r in got} == set().union(*held.values())
+
+
+def test_restore_greedy_covers_every_file(spark, sf_dir, con):
+    cover = q.QUERIES["restore_greedy"](spark, sf_dir)
+    got = [(r["step"], r["tape_id"], r["file_id"]) for r in cover.collect()]
+    held = held_files(spark, sf_dir, {r["id"] for r in d.part_files(spark, sf_dir).collect()})
+    assert sorted(got) == sorted((step, tape, f) for step, tape, files in brute_cover(held) for f in files)
+    assert {f for *_, f in got} == set().union(*held.values())
+    same(cover.where("step < 3"), con, q.ORACLES["restore_greedy_3"])
