@@ -446,6 +446,14 @@ def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.duplicate_sources(s).select(F.array_join("path", "/").alias("path"), "n")
 
 
+@query("SELECT path, count(*) AS n FROM (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 3) AS path FROM position) GROUP BY path HAVING count(*) > 1", "position")
+def duplicate_sources_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All positions; ``duplicate_sources`` takes a few in a thousand."""
+    parts = F.split("path", "/")
+    s = d.positions(spark, sf_dir).select(F.array(parts[0], parts[2]).alias("path"))
+    return j.duplicate_sources(s).select(F.array_join("path", "/").alias("path"), "n")
+
+
 @query("SELECT 'doc' || doc_id AS path, size, hash FROM content WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0", "content")
 def report_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = d.contents(spark, sf_dir)

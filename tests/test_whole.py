@@ -56,3 +56,12 @@ def test_restore_greedy_covers_every_file(spark, sf_dir, con):
     assert sorted(got) == sorted((step, tape, f) for step, tape, files in brute_cover(held) for f in files)
     assert {f for *_, f in got} == set().union(*held.values())
     same(cover.where("step < 3"), con, q.ORACLES["restore_greedy_3"])
+
+
+def test_duplicate_sources_all_counts_every_position(spark, sf_dir):
+    counts: dict[str, int] = {}
+    for p in d.positions(spark, sf_dir).select("path").collect():
+        first, _, third, *_ = p["path"].split("/")
+        counts[f"{first}/{third}"] = counts.get(f"{first}/{third}", 0) + 1
+    got = q.QUERIES["duplicate_sources_all"](spark, sf_dir)
+    assert rows(got.columns, got.collect()) == sorted(((n, path) for path, n in counts.items() if n > 1), key=repr)
