@@ -5,7 +5,8 @@ a query none. The rows are dealt to shards by a hash; a shard keeps its distinct
 random projections as a sorted array. A query's window, centred on its own value, grows by virtual rehashing: round by
 round it is as much wider as the radius is, and every entry that it newly holds is one collision of its vector. Vectors
 with more than ``threshold * m`` collisions are verified by their inner product. A query stops in a shard once its
-k-th best verified vector lies within the radius, or a share of the shard has been verified.
+k-th best verified vector lies within the radius. Where a share of the shard was verified before that, or the radius
+has outgrown all distances, the windows no longer rule much out and the rest of the shard is verified too.
 
 Every row is indexed: the projections don't depend on the data, and the largest norm is taken over all rows. Queries and
 shards meet block by block, so a task holds one shard and one block of queries whatever the size of the tables. A shard
@@ -83,9 +84,10 @@ class Shard:
                 # distance of the k-th best, one more for the query's own row
                 best = np.argsort(-scores, kind="stable")
                 at = best[np.searchsorted(np.cumsum(sizes[best]), k + 1)]
-                if 2 * self.top**2 - 2 * scale * scores[at] <= radius**2 or len(found) >= enough:
+                if 2 * self.top**2 - 2 * scale * scores[at] <= radius**2:
                     break
-            if radius > 4 * self.top:
+            if len(found) >= enough or radius > 4 * self.top:
+                found, scores = np.arange(n), products(self.x, q)
                 break
             radius *= GROWTH
         # of equal vectors only the k + 1 smallest ids can be among the k nearest

@@ -104,3 +104,17 @@ def test_neighbours(spark):
     few = df.where("vec_id < 5")
     assert nearest.nearest(few, few, k=20).groupBy("query_id").count().where("count = 4").count() == 5
     assert nearest.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("dim", "spread"), [(64, 0.5), (256, 0.0)])
+def test_searches_end_whole(dim, spread):
+    """Unequal norms and many dimensions: a search that the radius doesn't end goes on to the rest of its shard."""
+    rng = np.random.default_rng(1)
+    x = vectors.unit(rng.normal(size=(3000, dim))) * np.exp(spread * rng.normal(size=3000))[:, None]
+    shard = nearest.Shard(np.arange(3000), x, float(np.linalg.norm(x, axis=1).max()), 20)
+    hits = 0
+    for q in range(60):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(shard.search(x[q], q)[0].tolist()) & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 60 * 20
