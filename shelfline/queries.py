@@ -84,6 +84,12 @@ def positions_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("file_id", F.size("positions").cast("long").alias("n"), F.col("positions")[0]["id"].alias("first_id"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p["size"]).alias("bytes"))
 
 
+@query("SELECT file_id, count(*) AS n, min(id) AS first_id, CAST(sum(size) AS BIGINT) AS bytes FROM position WHERE file_id IN (SELECT id FROM part_file) GROUP BY file_id", "position part_file")
+def positions_by_file_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = scans.positions_by_file(d.positions(spark, sf_dir), d.part_files(spark, sf_dir).select("id"))
+    return grouped.select("file_id", F.size("positions").cast("long").alias("n"), F.col("positions")[0]["id"].alias("first_id"), F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p["size"]).alias("bytes"))
+
+
 @query("SELECT id, path FROM (SELECT doc_id + 1 AS id, 'd/' || doc_id % 5 || '/doc' || doc_id AS path FROM content WHERE doc_id % 2 = 1)", "content")
 def unlinked_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.unlinked(d.content_positions(spark, sf_dir)).select("id", "path")
@@ -154,12 +160,22 @@ def selection_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.selection_size(scans.file_view(d.tree(spark, sf_dir)).where("id % 7 = 0"))
 
 
+@query("SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size, coalesce(bool_or(size IS NULL), false) AS has_unknown FROM (SELECT CASE WHEN mode < 2147483648 THEN size END AS size FROM tree)", "tree")
+def selection_size_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.selection_size(scans.file_view(d.tree(spark, sf_dir)))
+
+
 @query("SELECT p.id, p.name, q.id AS position_id, q.barcode FROM part_file p LEFT JOIN (SELECT position.id, file_id, barcode FROM position JOIN tape ON tape_id = tape.id) q ON q.file_id = p.id WHERE p.id % 11 = 0", "part_file position tape")
 def file_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = d.part_files(spark, sf_dir).where("id % 11 = 0")
     return scans.file_detail(files, d.positions(spark, sf_dir), d.tapes(spark, sf_dir)).select("id", "name", "position_id", "barcode")
 
 
+@query("SELECT p.id, p.name, q.id AS position_id, q.barcode FROM part_file p LEFT JOIN (SELECT position.id, file_id, barcode FROM position JOIN tape ON tape_id = tape.id) q ON q.file_id = p.id", "part_file position tape")
+def file_detail_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.file_detail(d.part_files(spark, sf_dir), d.positions(spark, sf_dir), d.tapes(spark, sf_dir)).select("id", "name", "position_id", "barcode")
+
+
 # Trim and linking
 
 
@@ -252,6 +268,15 @@ def file_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.ancestors(files, files.where(~is_dir(F.col("mode")) & (F.col("id") % 97 == 0))).select("start", "steps", "id", "name")
 
 
+@query("""
+WITH up AS (SELECT id AS start, 0 AS steps, id, parent_id, name FROM tree WHERE mode < 2147483648
+            UNION ALL SELECT start, steps + 1, tree.id, tree.parent_id, tree.name FROM up JOIN tree ON tree.id = up.parent_id)
+SELECT start, CAST(steps AS INTEGER) AS steps, id, name FROM up""", "tree", recursive=True)
+def file_parents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = d.tree(spark, sf_dir)
+    return tree.ancestors(files, files.where(~is_dir(F.col("mode")))).select("start", "steps", "id", "name")
+
+
 _PATHS = "full_path AS (SELECT id, name AS path, 1 AS depth, mode, size FROM tree WHERE parent_id = 0 UNION ALL SELECT tree.id, path || '/' || name, depth + 1, tree.mode, tree.size FROM full_path JOIN tree ON tree.parent_id = full_path.id)"
 
 
@@ -433,12 +458,23 @@ def restore_tape_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.tape_status(spark.range(9).select(F.col("id").alias("tape_id")), done)
 
 
+@query(f"WITH {_RESTORED}\nSELECT t AS tape_id, CASE WHEN coalesce(bool_and(status = 3), true) THEN 4 ELSE 255 END AS status FROM (SELECT unnest(range(0, 9)) AS t) LEFT JOIN w ON tape_id = t GROUP BY t", "content")
+def restore_tape_status_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return j.tape_status(spark.range(9).select(F.col("id").alias("tape_id")), j.submit_staged(_restored(spark, sf_dir)))
+
+
 @query("SELECT coalesce(bool_and(status IN (4, 255)), true) AS finished FROM job WHERE id % 50 = 0", "job")
 def job_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = d.jobs(spark, sf_dir).where("id % 50 = 0")
     return j.job_finished(jobs.select(F.when(F.col("status").isin(4, 255), COPY_STATUS["SUBMITED"]).otherwise(COPY_STATUS["FAILED"]).alias("status")))
 
 
+@query("SELECT coalesce(bool_and(status IN (4, 255)), true) AS finished FROM job", "job")
+def job_finished_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("status").isin(4, 255), COPY_STATUS["SUBMITED"]).otherwise(COPY_STATUS["FAILED"])
+    return j.job_finished(d.jobs(spark, sf_dir).select(status.alias("status")))
+
+
 @query("SELECT path, count(*) AS n FROM (SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 3) AS path FROM position WHERE id % 997 < 3) GROUP BY path HAVING count(*) > 1", "position")
 def duplicate_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("path", "/")

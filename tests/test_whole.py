@@ -65,3 +65,20 @@ def test_duplicate_sources_all_counts_every_position(spark, sf_dir):
         counts[f"{first}/{third}"] = counts.get(f"{first}/{third}", 0) + 1
     got = q.QUERIES["duplicate_sources_all"](spark, sf_dir)
     assert rows(got.columns, got.collect()) == sorted(((n, path) for path, n in counts.items() if n > 1), key=repr)
+
+
+def test_queries_over_all_ids(spark, sf_dir):
+    """Each takes all rows of its table, not a subset by id."""
+    parts = {r["id"] for r in d.part_files(spark, sf_dir).collect()}
+    files = {r["id"]: r["size"] for r in d.tree(spark, sf_dir).collect() if r["mode"] < 0x80000000}
+    run = lambda name: q.QUERIES[name](spark, sf_dir).collect()
+    held = {r["file_id"] for r in d.positions(spark, sf_dir).collect()}
+    assert {r["file_id"] for r in run("positions_by_file_all")} == held & parts
+    assert {r["id"] for r in run("file_detail_all")} == parts
+    assert {r["start"] for r in run("file_parents_all")} == set(files)
+    assert run("selection_size_all")[0]["total_size"] == sum(files.values())
+    status = [r["status"] for r in d.jobs(spark, sf_dir).collect()]
+    assert run("job_finished_all")[0]["finished"] == all(s in (4, 255) for s in status)
+    ids = [r["doc_id"] for r in d.contents(spark, sf_dir).collect()]
+    bad = {i % 7 for i in ids if any(i % n == 0 for n in (11, 13, 17))}
+    assert {r["tape_id"] for r in run("restore_tape_status_all") if r["status"] == 255} == bad
