@@ -158,7 +158,7 @@ class Library:
         return {"chain": chain, "children": filesystem.listing(self.spark, f"{self.source_dir}/{path.strip('/')}")}
 
     def source_get_size(self, path: str = "") -> DataFrame:
-        return filesystem.total_size(self.spark, f"{self.source_dir}/{path.strip('/')}")
+        return filesystem.total_size(self.spark, f"{self.source_dir}/{path.strip('/')}", every=True)
 
     def device_list(self, devices: Iterable[str]) -> DataFrame:
         """Known drives, each once, in order."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from shelfline import schema
 from shelfline.operators import jobs, listing, mutations, scans, telemetry
 from shelfline.plans import restore, tree, trim
-from shelfline.sources import catalog_json
+from shelfline.sources import catalog_json, filesystem
 from shelfline.sources.filesystem import crumbs, listing as list_folder, sources, total_size
 from shelfline.sources.logs import append_log, log_tail, write_report
 from shelfline.sources.snapshots import Catalog
@@ -247,3 +247,17 @@ def test_filesystem_and_logs(spark, tmp_path):
     append_log(spark.createDataFrame([(1, "l")], "job_id long, line string"), str(tmp_path / "logs"))
     append_log(spark.createDataFrame([(1, "m")], "job_id long, line string"), str(tmp_path / "logs"))
     assert spark.read.text(str(tmp_path / "logs")).count() == 2
+
+
+def test_walk_takes_hidden_files(spark, tmp_path):
+    root = tmp_path / "src"
+    names = ["a.txt", "__init__.py", ".env", "_b/f.txt", ".c/f.txt", "d/g.txt", "d/.e/_f/h"]
+    for n, name in enumerate([*names, "d/.DS_Store"], 1):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"q" * n)
+    assert sorted("/".join(r["path"]) for r in sources(spark, str(root)).collect()) == sorted(names)
+    assert [(r["name"], r["is_dir"], r["size"]) for r in list_folder(spark, f"file://{root}").collect() if r["name"] in (".env", "_b", ".c")] == [(".c", True, 5), (".env", False, 3), ("_b", True, 4)]
+    assert total_size(spark, str(root), every=True).first()["size"] == sum(range(1, 9))
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(root))
+    through_hadoop = filesystem._remote(spark, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at)
+    assert sorted((r["path"], r["size"]) for r in through_hadoop.collect()) == sorted((r["path"], r["size"]) for r in filesystem.every_file(spark, str(root)).collect())
