@@ -5,7 +5,7 @@ columns of their input; ``run`` writes each stage's rows to the shared folder an
 Columns beyond id and text travel as one struct, so none can clash with an operator's own.
 
 ``n_chars`` follows the text where a stage changes it. A document that loses all its words to a dedup stage goes; one
-that had none stays. Rows that share a non-null id are one document, of which the near-dup stage keeps one row.
+that had none stays. Rows that share a non-null id and a text are one document, of which the near-dup stage keeps one row.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from shelfline.llm.registry import tokenizer_file
 #: SQL can't express the classifier or the tokenizer; the stages are tested against brute force.
 ORACLE_SQL = None
 CARRIED = "_carried"
+ROW_KEY, FIRST_TEXT = "_row_key", "_first_text"
+WORDS = "[^\x09-\x0d\x20]"
 
 
 def _pack_columns(docs: DataFrame) -> DataFrame:
@@ -55,14 +57,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line duplicates."""
     out = lines.dedup(_pack_columns(docs), carry=(CARRIED,))
-    return _unpack_columns(out.where((F.col("n_removed") == 0) | F.col("text").rlike("[^\x09-\x0d\x20]")), docs, F.col("n_removed") > 0)
+    return _unpack_columns(out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORDS)), docs, F.col("n_removed") > 0)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+
+    A row's key is its id; where an id has several texts, all but one of them, and rows without an id, have a hash of id
+    and text from 2^62 on, so they come after all ids below that. Texts without words stay, with null ids each row."""
+    own = F.xxhash64("text")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias(FIRST_TEXT), F.max(own).alias("_last"))
+    several = materialize(several.where(F.col(FIRST_TEXT) < F.col("_last")).select("doc_id", FIRST_TEXT), "ids-of-several-texts")
+    late = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    key = F.when(F.col("doc_id").isNull() | (own != F.col(FIRST_TEXT)), late).otherwise(F.col("doc_id").cast("long"))
+    keyed = docs.join(several, "doc_id", "left").withColumn(ROW_KEY, key).drop(FIRST_TEXT)
+    empty = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    named = keyed.where(~empty)
+    gone = minhash.near_duplicates(named, id_col=ROW_KEY).where(~F.col("kept")).select(ROW_KEY).distinct()
+    kept = named.join(gone, ROW_KEY, "left_anti").dropDuplicates([ROW_KEY])
+    return kept.unionByName(keyed.where(empty)).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

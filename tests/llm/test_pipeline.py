@@ -63,3 +63,15 @@ def test_edge_rows(spark):
     assert sorted((x["doc_id"] for x in docs.collect()), key=repr) == sorted([1, 3, 4, None], key=repr)
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_near_stage_drops_only_near_duplicates(spark):
+    r = random.Random(2)
+    a, b, c, e = (" ".join(f"t{r.randrange(500)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (2, b), (3, c), (None, e), (None, e), (None, a), (None, None), (None, None), (None, " ")]
+    out = p.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    got = sorted(pairs(out), key=repr)
+    texts = sorted((t for _, t in got if t and t.strip()), key=repr)
+    assert texts == sorted([a, b, c, e], key=repr)
+    assert [t for i, t in got if i is None and not (t and t.strip())] == [" ", None, None]
+    assert (3, c) in got and (None, e) in got
