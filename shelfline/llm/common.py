@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(spark, "_shelfline_scratch", None)
         if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="shelfline-")
             spark._shelfline_scratch = folder
@@ -44,6 +45,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts that a task turns into arrays at once: so many, and so many bytes of them; a longer text is taken alone.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def narrow_batches(df: DataFrame) -> DataFrame:
+    """The same rows; where its session leaves the size of Arrow batches at Spark's default, they are bounded by bytes.
+
+    Rows of long texts would else travel in batches of 64 MB, several of which a worker holds at a time."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) in ("67108864b", "64MB", "-1b", "-1"):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of at most so many rows and, but for a single longer value, bytes of a text or binary column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        end = min(max(end, at + 1), at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def crc_mod(column: str, n: int) -> F.Column:
     """crc32(column as text) mod n, the fold of the learning operators; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % n, F.lit(0))
@@ -125,13 +153,6 @@ def window_hashes(h: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
     return mix(acc)
 
 
-def table_rows(batches: Iterable[pa.RecordBatch], handle: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: one output batch for each input batch."""
-    for batch in batches:
-        if batch.num_rows and (cols := handle(batch)) is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], (pa.Array, pa.ChunkedArray)) else cols[f.name] for f in schema], schema=schema)
-
-
 def find_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union-find over the links a-b: each node that occurs with the smallest node of its group."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -149,56 +170,74 @@ def find_groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = new
 
 
-def _local_stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a batch to the star of each of its groups."""
-    for batch in batches:
-        if batch.num_rows:
-            node, root = find_groups(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False))
-            keep = node != root
-            yield pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(node[keep])], names=["a", "b"])
+#: Links that a task reduces to stars at once.
+TASK_LINKS = 500_000
+
 
+def _stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars, each group's smallest node with its others; in lots of TASK_LINKS."""
+    a, b, held = [], [], 0
+
+    def folded() -> pa.RecordBatch:
+        node, root = find_groups(np.concatenate(a), np.concatenate(b))
+        keep = node != root
+        return pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(node[keep])], names=["a", "b"])
 
-def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The groups of all links of a partition."""
-    a, b = [], []
     for batch in batches:
         a.append(batch.column(0).to_numpy(zero_copy_only=False))
         b.append(batch.column(1).to_numpy(zero_copy_only=False))
-    if a:
-        node, root = find_groups(np.concatenate(a), np.concatenate(b))
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "component_id"])
+        held += batch.num_rows
+        if held > 2 * TASK_LINKS:
+            yield folded()
+            a, b, held = [], [], 0
+    if held:
+        yield folded()
 
 
-#: Up to so many links are grouped by a single task, in some 100 MB; beyond, rounds over all tasks take over.
-ONE_TASK_LINKS = 1_000_000
+#: A key that holds a larger share of the rows than one in so many is joined by broadcast; fewer keys than that can.
+HOT_SHARE = 1000
 
 
-def components(edges: DataFrame, max_rounds: int = 60, one_task_links: int = ONE_TASK_LINKS) -> DataFrame:
+def hot_join(rows: DataFrame, about: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``total`` rows joined with what is known about their keys: one row (keys, n, ...) each, n being the rows of a key.
+
+    A key that a thousandth of all rows share would be one task's. There are less than a thousand such keys, so their
+    part of ``about`` is broadcast, and only the rows of other keys are shuffled."""
+    hot = F.col("n") * HOT_SHARE > total
+    rest = rows.join(F.broadcast(about.where(hot).select(*keys)), keys, "left_anti").join(about.where(~hot), keys)
+    return rows.join(F.broadcast(about.where(hot)), keys).unionByName(rest)
+
+
+def components(edges: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """Connected components of the links ``(a long, b long)``: ``(node, component_id)``, the smallest node reachable.
 
-    Each batch is first reduced to stars, so a group of n links never costs more than n rows. If few links are left,
-    one task groups them; else large-star and small-star rounds alternate on tables in the shared folder until nothing
-    moves. Nodes without a link don't appear."""
+    Links are dealt to tasks of some ``task_links`` each, which reduce theirs to stars, so a group of n links never costs
+    more than n rows. Where the stars of different tasks meet, large-star and small-star rounds follow, on tables in the
+    shared folder, until every node has one centre; they take about as many as the logarithm of the longest way between
+    two nodes. Nodes without a link don't appear."""
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
-    stars = materialize(edges.mapInArrow(_local_stars, "a long, b long"), "links")
-    if stars.count() <= one_task_links:
-        return stars.coalesce(1).mapInArrow(_whole_groups, "node long, component_id long")
-    stars = stars.distinct()
-
-    def hub(links: DataFrame, down: bool) -> DataFrame:
-        both = links if down else links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # (node, other): down keeps only smaller neighbours
-        near = both.select(F.col("b").alias("node"), F.col("a").alias("other"))
-        low = near.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("low"))
-        moved = near.join(low, "node")
-        if down:
-            out = moved.select("low", F.explode(F.array("node", "other")).alias("x"))
-        else:
-            out = moved.where("other > node").select("low", F.col("other").alias("x")).unionByName(low.select("low", F.col("node").alias("x")))
+
+    def reduced(links: DataFrame, n: int) -> DataFrame:
+        return materialize(links.repartition(max(1, -(-n // task_links))).mapInArrow(_stars, "a long, b long"), "links")
+
+    def hub(links: DataFrame, n: int, down: bool) -> DataFrame:
+        near = links.select(F.col("b").alias("node"), F.col("a").alias("other"))
+        if not down:
+            near = near.unionByName(links.select(F.col("a").alias("node"), F.col("b").alias("other")))
+        low = near.groupBy("node").agg(F.min("other").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("low", "node"))
+        if not down:
+            near = near.where("other > node")
+        moved = hot_join(near, low, ["node"], n).select("low", F.col("other").alias("x"))
+        out = moved.unionByName(low.select("low", F.col("node").alias("x")))
         return out.where("x <> low").select(F.col("low").alias("a"), F.col("x").alias("b")).distinct()
 
-    for _ in range(max_rounds):
-        if stars.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and stars.select("a").join(stars.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+    stars = reduced(edges, edges.count())
+    while True:
+        ends = stars.select(F.col("b").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(stars.select("a", F.lit(0), F.lit(1)).toDF("node", "below", "above"))
+        odd = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1")
+        if odd.isEmpty():
             return stars.select(F.col("b").alias("node"), F.col("a").alias("component_id")).unionByName(stars.select(F.col("a").alias("node"), F.col("a").alias("component_id")).distinct())
-        stars = materialize(hub(hub(stars, down=False), down=True).mapInArrow(_local_stars, "a long, b long").distinct(), "links")
-    raise RuntimeError("components did not settle")
+        # each star operation reads its links several times, so they are tables
+        n = stars.count()
+        stars = materialize(hub(materialize(hub(stars, n, down=False), "links"), n, down=True), "links")
+        stars = reduced(stars, n)

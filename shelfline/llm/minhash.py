@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import U64, components, materialize, mix, text_words, window_hashes
+from shelfline.llm.common import U64, components, hot_join, materialize, mix, narrow_batches, slices, text_words, window_hashes
 
 BANDS, ROWS = 32, 4
+#: Members of a bucket that one task checks against its hubs.
+SLICE = 1024
 #: Words of 64 bits in a set's bitmap.
 BITMAP_LONGS = 16
 
@@ -74,8 +76,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 1):
                 sets = shingle_sets(batch.column(1).to_pylist(), width)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 doc = np.repeat(np.arange(len(sets)), sizes)
@@ -96,71 +97,62 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 1):
                 sets = shingle_sets(batch.column(1).to_pylist(), width)
                 bits = np.zeros((len(sets), BITMAP_LONGS * 64), bool)
                 for row, s in zip(bits, sets, strict=True):
                     row[mix(s + U64(99)) % U64(BITMAP_LONGS * 64)] = True
                 longs = np.packbits(bits, axis=1).view(">i8").astype(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(longs), BITMAP_LONGS).cast(pa.list_(pa.int64()))], names=["node", "members", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(longs), BITMAP_LONGS).cast(pa.list_(pa.int64()))], names=["node", "members", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, members binary, bits array<long>")
-
-
-def _linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
-        return False
-    both = np.concatenate([s, t])
-    both.sort()
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(both) - common)
+    return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, members array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets reach the threshold: 100 * intersection >= percent * union."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                hit.append(_linked(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), percent))
-            mask = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
+    """Of the pairs (a, b) those whose whole sets reach the threshold: 100 * intersection >= percent * union.
 
+    The sets meet pair by pair inside the JVM: no batch of them ever travels to a worker."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    n, m, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
+    suits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return both.where(F.when(suits, 100 * common >= percent * (n + m - common)).otherwise(False)).select("a", "b")
 
 
 def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """``(node, bits, shared)``: the bitmap, and how many shingles of each node (node, n_shingles) some other of the nodes has too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                members = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
-                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(m) for m in members])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(members)), pa.array(node)], names=["shingle", "node"])
-
-    rows = sets.select("node", "members").join(nodes.select("node"), "node", "left_semi").mapInArrow(run, "shingle long, node long")
+    rows = sets.join(nodes.select("node"), "node", "left_semi").select(F.explode("members").alias("shingle"), "node")
     own = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("own"))
     return nodes.join(own, "node", "left").join(sets.select("node", "bits"), "node").select("node", "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
+def _slices() -> Column:
+    return F.ceil(F.col("n") / SLICE).cast("int")
+
+
+def sliced(rows: DataFrame, about: DataFrame) -> DataFrame:
+    """Rows (key, n, slice) joined with about (key, n, ...), whose rows are copied to each slice of their bucket.
+
+    A bucket of n rows has n / SLICE slices, so no task gets more than some of them, however many rows share a key."""
+    copies = about.withColumn("slice", F.explode(F.sequence(F.lit(0), _slices() - 1))).drop("n")
+    return rows.join(copies, ["key", "slice"])
+
+
 def _reaching(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, node, group, n_shingles, slack) that some row of another group in their bucket can be linked with.
+    """Rows (key, slice, n, node, group, n_shingles, slack) that some row of another group in their bucket can be linked with.
 
     Sets of n and m with at most s and r shared shingles can be linked only if both slacks, (100 + percent) * s - percent * n
     and the other's, reach percent times the other's size. So a row needs a size and a slack outside its group that
-    suit its own; the best of each is found with the best group's and the best of all other groups'."""
-    best = rows.groupBy("key").agg(F.min(F.struct("n_shingles", "group")).alias("small"), F.max(F.struct("slack", "group")).alias("wide"))
-    rows_ = rows.join(best, "key")
-    other = rows_.groupBy("key").agg(F.min(F.when(F.col("group") != F.col("small.group"), F.col("n_shingles"))).alias("next_small"), F.max(F.when(F.col("group") != F.col("wide.group"), F.col("slack"))).alias("next_wide"))
-    rows_ = rows_.join(other, "key")
-    small = F.when(F.col("group") != F.col("small.group"), F.col("small.n_shingles")).otherwise(F.col("next_small"))
-    wide = F.when(F.col("group") != F.col("wide.group"), F.col("wide.slack")).otherwise(F.col("next_wide"))
+    suit its own; the best of each is found with the best group's and the best of all other groups'. A group's best come
+    first, so that the best of all others is a second small grouping and the rows are joined once."""
+    groups = rows.groupBy("key", "n", "group").agg(F.min("n_shingles").alias("least"), F.max("slack").alias("most"))
+    top = groups.groupBy("key", "n").agg(F.min(F.struct("least", "group")).alias("small"), F.max(F.struct("most", "group")).alias("wide"))
+    others = groups.join(top, ["key", "n"]).groupBy("key", "n").agg(
+        F.min(F.when(F.col("group") != F.col("small.group"), F.col("least"))).alias("next_small"), F.max(F.when(F.col("group") != F.col("wide.group"), F.col("most"))).alias("next_wide"),
+        F.first("small").alias("small"), F.first("wide").alias("wide"))
+    rows_ = sliced(rows, others)
+    small = F.when(F.col("group") != F.col("small.group"), F.col("small.least")).otherwise(F.col("next_small"))
+    wide = F.when(F.col("group") != F.col("wide.group"), F.col("wide.most")).otherwise(F.col("next_wide"))
     return rows_.where((F.col("slack") >= percent * small) & (wide >= percent * F.col("n_shingles"))).select(*rows.columns)
 
 
@@ -179,53 +171,60 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
       this bound and another one from bitmaps of both sets allow.
 
     That ends when each bucket is one group or all that can be linked in it is checked. So a group of n near copies costs
-    about n checks, and no link between two groups is lost. Every link is confirmed on whole sets.
+    about n checks, and no link between two groups is lost. Every link is confirmed on whole sets. Buckets are split
+    into slices of their members, to which hubs are copied, so a bucket's size doesn't matter to a task.
 
     Nulls: a null or empty text has an empty set and is linked with nothing. A null id has no links, a null component
-    and is kept. Rows that share an id are one document with several texts. An empty table gives an empty result."""
+    and is kept. Rows that share an id are one document with several texts. Of equal sizes and masses the smaller id
+    leads, so ties and repeated rows don't change the result. Texts are read whole, in slices of a bounded number of
+    bytes; a single longer text is taken alone. Other columns are not read. An empty table gives an empty result."""
+    docs = narrow_batches(docs)
     own = materialize(signatures(docs, id_col, text_col, width, bands, rows), "signatures")
     real = own.where("n_shingles > 0 and id is not null")
-    classes = materialize(real.groupBy("set1", "set2", "n_shingles").agg(F.min("id").alias("node"), F.first("keys").alias("keys")), "classes")
+    classes = materialize(real.groupBy("set1", "set2", "n_shingles").agg(F.min("id").alias("node"), F.first("keys").alias("keys"), F.count("*").alias("n")), "classes")
     exploded = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
     crowds = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(exploded.join(crowds, "key"), "buckets")
+    members = materialize(hot_join(exploded, crowds, ["key"], classes.count() * bands), "buckets")
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     sets = materialize(stored_sets(docs, mass.select("node"), id_col, text_col, width), "sets")
     central = F.struct((-F.col("mass")).alias("order"), "node")
-    open_ = materialize(members.join(mass, "node").withColumn("group", F.col("node")), "members")
-    lead = open_.groupBy("key").agg(F.min(central).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    pairs = open_.join(lead, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links, group, turn = None, None, 0
+    slice_ = F.pmod(F.xxhash64(F.lit(21), "node"), _slices()).cast("int")
+    open_ = materialize(members.join(mass, "node").withColumns({"group": F.col("node"), "slice": slice_}), "members")
+    lead = open_.groupBy("key", "n").agg(F.min(central).alias("hub")).select("key", "n", F.col("hub.node").alias("hub"))
+    pairs = sliced(open_, lead).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    group, turn = None, 0
     u = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30)
     while True:
         found = materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "verified")
-        links = found if links is None else links.unionByName(found)
+        # what is grouped already goes on as one star a group
+        links = found if group is None else found.unionByName(group.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b")))
         if group is None or not found.isEmpty():
             group = materialize(components(links), "groups")
         turn += 1
         now = open_.drop("group").join(group, "node", "left").withColumn("group", F.coalesce("component_id", "node")).drop("component_id")
-        several = now.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-        now = materialize(now.drop("shared", "slack", "u", "bits").join(several, "key"), "open")
+        several = now.groupBy("key", "n").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key", "n")
+        now = materialize(sliced(now.drop("shared", "slack", "u", "bits"), several), "open")
         if now.isEmpty():
             break
         shared = shared_sizes(now.groupBy("node").agg(F.first("n_shingles").alias("n_shingles")), sets)
-        now = now.join(shared, "node").withColumns({"slack": (100 + percent) * F.col("shared") - percent * F.col("n_shingles"), "u": u})
+        now = materialize(now.join(shared, "node").withColumns({"slack": (100 + percent) * F.col("shared") - percent * F.col("n_shingles"), "u": u}), "slack")
         open_ = materialize(_reaching(now, percent), "reaching")
         low, high = hubs * (8 ** (turn - 1) - 1), hubs * (8**turn - 1)
         if open_.where(F.col("u") * F.col("n") >= low).isEmpty():
             break
         leads = open_.where((F.col("u") * F.col("n") >= low) & (F.col("u") * F.col("n") < high))
-        leads = leads.select("key", F.col("node").alias("a"), F.col("group").alias("own"), F.col("u").alias("lead"), F.col("slack").alias("s"), F.col("n_shingles").alias("m"), F.col("bits").alias("lead_bits"))
+        leads = leads.select("key", "n", F.col("node").alias("a"), F.col("group").alias("own"), F.col("u").alias("lead"), F.col("slack").alias("s"), F.col("n_shingles").alias("m"), F.col("bits").alias("lead_bits"))
         possible = (F.col("slack") >= percent * F.col("m")) & (F.col("s") >= percent * F.col("n_shingles"))
         possible &= (F.col("group") != F.col("own")) & ((F.col("u") > F.col("lead")) | (F.col("u") == F.col("lead")) & (F.col("node") > F.col("a")))
         # a bit that only one bitmap has is a shingle that only that set has
         only = lambda x, y: sum((F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITMAP_LONGS)), F.lit(0))
         common = F.least(F.col("m") - only("lead_bits", "bits"), F.col("n_shingles") - only("bits", "lead_bits"))
         possible &= 100 * common >= percent * (F.col("m") + F.col("n_shingles") - common)
-        pairs = open_.join(leads, open_["key"] == leads["key"]).where(possible).select("a", F.col("node").alias("b"))
+        pairs = sliced(open_, leads).where(possible).select("a", F.col("node").alias("b"))
 
     # A class has the smallest id of its rows as its node, so joining on the set's name carries groups to all copies.
-    named = classes.select("set1", "set2", "n_shingles", "node").join(group, "node", "left").withColumn("component_id", F.coalesce("component_id", "node"))
-    rows_ = own.drop("keys").join(named.drop("node"), ["set1", "set2", "n_shingles"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return rows_.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    name = ["set1", "set2", "n_shingles"]
+    named = classes.select(*name, "node", "n").join(group, "node", "left").select(*name, "n", F.coalesce("component_id", "node").alias("component_id"))
+    rows_ = hot_join(real.select("id", *name), named, name, own.count()).select("id", "n_shingles", "component_id")
+    rows_ = rows_.unionByName(own.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    return rows_.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -207,5 +207,37 @@ def test_components_in_rounds(spark):
             group[max(a, b)] = min(a, b)
     expected = sorted((x, find(x)) for x in group)
     df = spark.createDataFrame(links, "a long, b long")
-    for bound in (0, 1_000_000):
-        assert sorted(map(tuple, common.components(df, one_task_links=bound).collect())) == expected
+    for task_links in (20, 500_000):
+        assert sorted(map(tuple, common.components(df, task_links).collect())) == expected
+    assert common.components(df.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of 60,000 words, one line each, an altered copy and a tail among them, in every dedup operator."""
+    r = random.Random(5)
+    ws = [f"w{r.randrange(30_000)}" for _ in range(60_000)]
+    altered, other = list(ws), [f"u{r.randrange(30_000)}" for _ in range(60_000)]
+    for k in range(0, 60_000, 200):
+        altered[k] = "changed"
+    one = list(ws)
+    one[31_000] = "edit"
+    rows = [(4, " ".join(ws)), (3, " ".join(altered)), (9, " ".join(other)), (7, " ".join(one)), (1, "a few words"), (8, None), (6, "x" * 300_000)]
+    df = frame(spark, rows)
+    assert sorted(((x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substring.dedup(df).collect()), key=repr) == brute_substring(rows)
+    near = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(df).collect()}
+    assert near == {4: 3, 3: 3, 7: 3, 9: 9, 1: 1, 8: 8, 6: 6}
+    left = {x["doc_id"]: (x["n_lines"], x["n_removed"]) for x in lines.dedup(df).collect()}
+    assert left == {4: (1, 0), 3: (1, 0), 7: (1, 1), 9: (1, 0), 1: (1, 0), 8: (0, 0), 6: (1, 0)}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Lines of such rows are judged apart; their sets are one document's."""
+    r = random.Random(6)
+    text = lambda: " ".join(f"t{r.randrange(900)}" for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(5, a), (5, b), (5, a), (6, b), (7, c), (None, c), (None, a + "\n" + c)]
+    out = [(x["doc_id"], x["n_removed"], x["text"]) for x in lines.dedup(frame(spark, rows)).collect()]
+    assert sorted((i, n) for i, n, _ in out if i is not None) == [(5, 0), (5, 0), (5, 0), (6, 1), (7, 0)]
+    assert sorted((n, t) for i, n, t in out if i is None) == [(1, ""), (2, "")]
+    near = sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(frame(spark, rows)).collect()), key=repr)
+    assert near == sorted([(5, 5, True)] * 3 + [(6, 5, False), (7, 7, True)] + [(None, None, True)] * 2, key=repr)
