@@ -28,7 +28,7 @@ def op2_cover_tree_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.from_turns(load(spark, sf_dir, "conversations"))
     out = tool_calls.link(calls, results, tool_calls.TURN_SCHEMAS)
-    return out.select(F.col("conv").alias("conv_id"), "call_id", "place", "status", "level", "valid", F.sha2(F.coalesce("json", F.lit("")), 256).alias("json_sha256"))
+    return out.select(F.col("conv").alias("conv_id"), "call_id", "place", "status", "level", "valid", F.size("errors").alias("n_errors"), F.sha2(F.coalesce("json", F.lit("")), 256).alias("json_sha256"))
 
 
 def op4_difference_cover_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,20 +72,32 @@ FROM low LEFT JOIN n USING (vec_id)
 """
 
 OP3 = """
-WITH ask AS (
-  SELECT conv_id, turn, text, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS level
-  FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+WITH ask AS (SELECT conv_id, turn, text, coalesce(length(text), 0) AS n FROM conversations WHERE role IS DISTINCT FROM 'assistant'),
+isle AS (SELECT conv_id, turn, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS g FROM ask),
+lv AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, g ORDER BY turn) - 1 AS level FROM isle),
 ans AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
 c AS (
-  SELECT ask.conv_id, 'call_' || ask.turn AS call_id, ask.turn AS place, if(ans.turn IS NULL, 'unanswered', 'linked') AS status,
-         level, length(ask.text) > 0 AS valid,
-         '{"arguments":{"n_chars":' || length(ask.text) || ',"text":' || to_json(ask.text) || ',"turn":' || ask.turn || '},"id":"call_' || ask.turn
-         || '","name":"reply","result":' || coalesce(CAST(to_json(ans.text) AS VARCHAR), 'null')
-         || ',"uses":[' || if(before IS NULL, '', '"call_' || before || '"') || ']}' AS j
-  FROM ask LEFT JOIN ans ON ans.conv_id = ask.conv_id AND ans.turn = ask.turn + 1)
-SELECT conv_id, call_id, CAST(place AS BIGINT) AS place, status, CAST(level AS INTEGER) AS level, valid, sha256(j) AS json_sha256 FROM c
+  SELECT ask.conv_id, 'call_' || ask.turn AS call_id, ask.turn AS place, lv.level, ans.turn IS NOT NULL AS answered, ans.text AS answer,
+         ['reply', 'search', 'count'][ask.turn % 3 + 1] AS name,
+         CASE ask.turn % 3
+           WHEN 0 THEN '{' || if(ask.text IS NULL, '', '"n_chars":' || ask.n || ',"text":' || to_json(ask.text) || ',') || '"turn":' || ask.turn || '}'
+           WHEN 1 THEN '{' || if(ask.text IS NULL, '', '"query":' || to_json(ask.text[1:40]) || ',') || '"top":' || if(ask.n % 5 = 0, '"many"', CAST(ask.turn + 1 AS VARCHAR)) || '}'
+           ELSE if(ask.n % 7 = 0, '{}', '{"items":[' || ask.turn || ',' || ask.n || ']}') END AS arguments,
+         CASE ask.turn % 3 WHEN 0 THEN if(ask.n = 0, 2, 0) WHEN 1 THEN if(ask.n = 0, 1, 0) + if(ask.n % 5 = 0 OR ask.turn + 1 > 7, 1, 0) ELSE if(ask.n % 7 = 0, 1, 0) END
+         + if(ask.turn >= 2 AND two.turn IS NULL, 1, 0) AS n_errors,
+         if(ask.turn >= 2, '"call_' || (ask.turn - 2) || '"', '') AS uses
+  FROM ask JOIN lv ON lv.conv_id = ask.conv_id AND lv.turn = ask.turn LEFT JOIN ans ON ans.conv_id = ask.conv_id AND ans.turn = ask.turn + 1
+  LEFT JOIN ask two ON two.conv_id = ask.conv_id AND two.turn = ask.turn - 2
+  UNION ALL
+  SELECT ask.conv_id, 'digest_' || ask.turn, ask.turn, greatest(lv.level, coalesce(l4.level, 0)) + 1, false, NULL, 'digest',
+         '{"of":[' || if(ask.turn >= 4, (ask.turn - 4) || ',', '') || (ask.turn - 2) || ',' || ask.turn || ']}',
+         if(l2.turn IS NULL, 1, 0) + if(ask.turn >= 4 AND l4.turn IS NULL, 1, 0),
+         if(ask.turn >= 4, '"call_' || (ask.turn - 4) || '",', '') || '"call_' || (ask.turn - 2) || '","call_' || ask.turn || '"'
+  FROM ask JOIN lv ON lv.conv_id = ask.conv_id AND lv.turn = ask.turn LEFT JOIN lv l2 ON l2.conv_id = ask.conv_id AND l2.turn = ask.turn - 2
+  LEFT JOIN lv l4 ON l4.conv_id = ask.conv_id AND l4.turn = ask.turn - 4 WHERE ask.turn % 4 = 2),
+j AS (SELECT *, '{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(answer) AS VARCHAR), 'null') || ',"uses":[' || uses || ']}' AS j FROM c)
+SELECT conv_id, call_id, CAST(place AS BIGINT) AS place, if(answered, 'linked', 'unanswered') AS status, CAST(level AS INTEGER) AS level, n_errors = 0 AS valid, CAST(n_errors AS INTEGER) AS n_errors, sha256(j) AS json_sha256 FROM j
 UNION ALL
-SELECT conv_id, 'call_' || (turn - 1), CAST(turn AS BIGINT), 'orphan', 0, false, sha256('')
+SELECT conv_id, 'call_' || (turn - 1), CAST(turn AS BIGINT), 'orphan', 0, false, 1, sha256('')
 FROM ans WHERE NOT EXISTS (SELECT 1 FROM ask WHERE ask.conv_id = ans.conv_id AND ask.turn = ans.turn - 1)
 """

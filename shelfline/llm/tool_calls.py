@@ -7,23 +7,25 @@ conversation. Each becomes one canonical JSON object: keys sorted, no spaces, ch
 The order comes from levels: a call that uses no other has level 0, any other one more than its highest. They are found
 over all conversations at once, on tables in the shared folder: chains in as many rounds as the logarithm of their
 length, calls that use several others one line of these a round. Calls that wait for each other, or for such, get the
-level -1 and an error. No conversation is gathered in one task.
+level -1 and an error. No conversation is gathered in one task, nor are the calls that share an id.
 
 Nulls: a call without conversation or id is linked with nothing; null arguments count as an empty object; arguments that
 are no JSON object are an error. Of calls (or results) that share an id the earliest stands, others are marked repeated.
-Results without a call are returned as orphans. Uses of unknown calls are an error. Empty tables give an empty result.
+Results without a call are returned as orphans. Uses of unknown calls are an error. Ties of place go to the smaller name,
+arguments and uses. Texts are taken whole, a few MB at a time between Spark and Python. Other columns are not read. Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import materialize
+from shelfline.llm.common import hot_join, materialize, narrow_batches
 
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -90,7 +92,7 @@ def levels(calls: DataFrame) -> DataFrame:
         covered *= 2
     # what still moves after as many steps as there are calls goes round in a circle
     ended = chains.where("not moves").select("conv", "call_id", "end", "far")
-    known = materialize(free, "level")
+    known, rounds = materialize(free, "level"), 0
     if not many.isEmpty():
         of = ended.select("conv", F.col("call_id").alias("used"), "end", "far")
         needs = edges.join(many, ["conv", "call_id"], "left_semi").join(of, ["conv", "used"], "left").join(chains.where("moves").select("conv", F.col("call_id").alias("used"), F.lit(True).alias("circle")), ["conv", "used"], "left")
@@ -98,25 +100,39 @@ def levels(calls: DataFrame) -> DataFrame:
         while True:
             each = needs.join(known.withColumnRenamed("call_id", "end"), ["conv", "end"], "left")
             ready = each.groupBy("conv", "call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all"), (F.max(F.col("level") + F.col("far")) + 1).cast("int").alias("level")).where("all").select("conv", "call_id", "level")
-            new = materialize(ready.join(known, ["conv", "call_id"], "left_anti"), "ready")
+            new = materialize(ready, "ready")
             if new.isEmpty():
                 break
-            known = materialize(known.unionByName(new), "level")
+            # what is settled is only added, and needs no further round; now and then the pieces become one table
+            known, needs, rounds = known.unionByName(new), needs.join(new.select("conv", "call_id"), ["conv", "call_id"], "left_anti"), rounds + 1
+            if rounds % 8 == 0:
+                known, needs = materialize(known, "level"), materialize(needs, "needs")
     tails = ended.join(known.select("conv", F.col("call_id").alias("end"), "level"), ["conv", "end"]).select("conv", "call_id", (F.col("level") + F.col("far")).cast("int").alias("level"))
     found = materialize(known.unionByName(tails), "level")
     return found.unionByName(calls.join(found, ["conv", "call_id"], "left_anti").select("conv", "call_id", F.lit(-1).alias("level")))
 
 
+def _copied(rows: DataFrame) -> DataFrame:
+    """Each row as often as its column ``copies`` says, in lots, so that no row grows with it."""
+    lots = rows.where("copies > 0").withColumn("_lot", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / 4096).cast("long"))))
+    return lots.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(4096).cast("long"), F.col("copies") - F.col("_lot") * 4096)))).drop("_lot", "_i", "copies")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """calls ``(conv, call_id, place, name, arguments string, uses array<string>)``, results ``(conv, call_id, place, content)``.
 
     One row a call or orphan: ``(conv, call_id, place, status, level, valid, errors array<string>, json)``; status is linked,
     unanswered, repeated or orphan. Order a conversation by (level, place) for a topological order."""
-    first = Window.partitionBy("conv", "call_id").orderBy("place", "name", "arguments")
-    named = calls.select("conv", "call_id", "place", "name", "arguments", F.coalesce("uses", F.array().cast("array<string>")).alias("uses")).withColumn("nth", F.row_number().over(first))
+    calls, fields = narrow_batches(calls), ["place", "name", "arguments", "uses"]
+    named = calls.select("conv", "call_id", "place", "name", "arguments", F.coalesce("uses", F.array().cast("array<string>")).alias("uses"))
+    kinds = materialize(named.groupBy("conv", "call_id", *fields).agg(F.count("*").alias("copies")), "call-kinds")
     real = F.col("conv").isNotNull() & F.col("call_id").isNotNull()
-    main = materialize(named.where(real & (F.col("nth") == 1)).drop("nth"), "calls")
-    others = named.where(~real | (F.col("nth") > 1)).drop("nth").withColumns({"level": F.lit(0), "answer": F.lit(None).cast("string"), "status": F.when(real, "repeated").otherwise("unanswered")})
+    about = kinds.where(real).groupBy("conv", "call_id").agg(F.min(F.struct(*fields)).alias("first"), F.count("*").alias("n"))
+    marked = hot_join(kinds.where(real), about, ["conv", "call_id"], kinds.count()).withColumn("main", F.struct(*fields).eqNullSafe(F.col("first")))
+    main = materialize(marked.where("main").select("conv", "call_id", *fields), "calls")
+    repeated = _copied(marked.select("conv", "call_id", *fields, (F.col("copies") - F.col("main").cast("int")).alias("copies"))).withColumn("status", F.lit("repeated"))
+    unnamed = _copied(kinds.where(~real)).withColumn("status", F.lit("unanswered"))
+    others = repeated.unionByName(unnamed).withColumns({"level": F.lit(0), "answer": F.lit(None).cast("string")})
     answer = results.groupBy("conv", "call_id").agg(F.min(F.struct("place", "content")).alias("r")).select("conv", "call_id", F.col("r.content").alias("answer"), F.lit(True).alias("answered"))
     linked = main.join(answer, ["conv", "call_id"], "left").withColumn("status", F.when(F.col("answered"), "linked").otherwise("unanswered")).drop("answered")
     linked = linked.join(levels(main.select("conv", "call_id", "uses")), ["conv", "call_id"], "left")
@@ -158,21 +174,33 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
 #: The tools that a conversation's turns stand for where the text itself has no calls.
 TURN_SCHEMAS = {
+    "count": {"type": "object", "required": ["items"], "additionalProperties": False, "properties": {"items": {"type": "array", "items": {"type": "integer", "minimum": 0}}}},
+    "digest": {"type": "object", "required": ["of"], "additionalProperties": False, "properties": {"of": {"type": "array", "items": {"type": "integer", "minimum": 0}}}},
     "reply": {"type": "object", "required": ["n_chars", "text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "n_chars": {"type": "integer", "minimum": 1}}},
+    "search": {"type": "object", "required": ["query", "top"], "additionalProperties": False, "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 40}, "top": {"type": "integer", "minimum": 1, "maximum": 7}}},
 }
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations ``(conv_id, turn, role, text)``.
+    """Calls and results of plain conversations ``(conv_id, turn, role, text)``, by rules on single rows.
 
-    Each turn that isn't the assistant's asks for a reply and uses the request before it, if any; the assistant's next turn
-    answers the request whose number it follows."""
+    Each turn that isn't the assistant's calls a tool: by turn mod 3 ``reply`` with its text, ``search`` with the first 40
+    characters, or ``count``. Arguments are bad where a length is divisible by 5 (``search``: a word for a number) or 7
+    (``count``: nothing). A call uses the one two turns before, whether there is one or not. Turns of remainder 2 by 4
+    also call ``digest``, which uses the calls of this turn and of those two and four before. The assistant's turn answers
+    the call of the turn before it; other answers are orphans."""
     own = turns.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("place"), "role", "text")
-    call_id = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    call_id: Callable[[Column], Column] = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    size, turn = F.coalesce(F.length("text"), F.lit(0)), F.col("place")
     asks = own.where("role is distinct from 'assistant'")
-    before = F.lag("place").over(Window.partitionBy("conv").orderBy("place", "role", "text"))
-    asks = asks.withColumn("before", before)
-    arguments = F.to_json(F.struct(F.length("text").alias("n_chars"), "text", F.col("place").alias("turn")))
-    calls = asks.select("conv", call_id(F.col("place")).alias("call_id"), "place", F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("before") < F.col("place"), F.array(call_id(F.col("before")))).otherwise(F.array().cast("array<string>")).alias("uses"))
-    results = own.where("role = 'assistant'").select("conv", call_id(F.col("place") - 1).alias("call_id"), "place", F.col("text").alias("content"))
-    return calls, results
+    name = F.when(turn % 3 == 0, "reply").when(turn % 3 == 1, "search").otherwise("count")
+    reply = F.to_json(F.struct(F.length("text").alias("n_chars"), "text", turn.alias("turn")))
+    query = F.substring("text", 1, 40).alias("query")
+    search = F.when(size % 5 == 0, F.to_json(F.struct(query, F.lit("many").alias("top")))).otherwise(F.to_json(F.struct(query, (turn + 1).alias("top"))))
+    count = F.when(size % 7 == 0, "{}").otherwise(F.to_json(F.struct(F.array(turn, size.cast("long")).alias("items"))))
+    before = F.when(turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>"))
+    calls = asks.select("conv", call_id(turn).alias("call_id"), "place", name.alias("name"), F.when(turn % 3 == 0, reply).when(turn % 3 == 1, search).otherwise(count).alias("arguments"), before.alias("uses"))
+    of = F.filter(F.array(turn - 4, turn - 2, turn), lambda t: t >= 0)
+    digests = asks.where(turn % 4 == 2).select("conv", F.concat(F.lit("digest_"), turn.cast("string")).alias("call_id"), "place", F.lit("digest").alias("name"), F.to_json(F.struct(of.alias("of"))).alias("arguments"), F.transform(of, call_id).alias("uses"))
+    results = own.where("role = 'assistant'").select("conv", call_id(turn - 1).alias("call_id"), "place", F.col("text").alias("content"))
+    return calls.unionByName(digests), results
