@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import paths, values
@@ -105,8 +105,9 @@ def next_job(jobs: DataFrame, status: int = 2) -> DataFrame:
 def merge_feed(local: DataFrame, changes: DataFrame) -> DataFrame:
     """The list after a page of changes: of each id the row with the latest update, a change before a local row."""
     rows = local.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
-    latest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("update_time_ns"), F.desc("_new")))
-    return rows.withColumn("_n", latest).where("_n = 1").drop("_n", "_new")
+    rest = [c for c in local.columns if c != "id"]
+    latest = rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("update_time_ns", "_new")).alias("r"))
+    return latest.select("id", "r.*").select(*local.columns)
 
 
 def feed_cursor(feed: DataFrame) -> DataFrame:

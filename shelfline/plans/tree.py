@@ -24,26 +24,47 @@ def descendants(files: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH,
     """All rows below the roots ``(root)``, as ``(root, depth from 1, *file columns)``.
 
     ``carry`` starts a column ``carried`` at the roots, which have the columns of ``roots``; ``extend`` makes a child's value from its
-    parent's ``carried`` and its own columns."""
+    parent's ``carried`` and its own name. Only directories, with their names, go through the rounds; all files meet
+    the directories they lie in by one join at the end. A root that lies below itself is reported at once."""
     extra = ["carried"] if carry is not None else []
-    start = roots.select("root", F.col("root").alias("_at"), *([carry.alias("carried")] if extra else []))
-    level, depth, out = start, 0, None
+    value = [extend.alias("carried")] if extra else []
+    folders = cut(files.where(is_dir(F.col("mode"))).select("id", "parent_id", "name"))
+    level = roots.select("root", F.col("root").alias("_at"), F.lit(0).alias("_above"), *([carry.alias("carried")] if extra else []))
+    heads, depth = level, 0
     while True:
         depth += 1
-        found = level.join(files, files["parent_id"] == level["_at"])
-        value = [extend.alias("carried")] if extra else []
-        found = cut(found.select("root", F.lit(depth).alias("depth"), *files.columns, *value))
-        if found.isEmpty():
+        level = cut(level.join(folders, folders["parent_id"] == level["_at"]).select("root", F.col("id").alias("_at"), F.lit(depth).alias("_above"), *value))
+        if level.isEmpty():
             break
-        if depth > max_depth:
-            raise TooDeep(f"more than {max_depth} levels")
-        out = found if out is None else out.unionByName(found)
-        level = found.where(is_dir(F.col("mode"))).select("root", F.col("id").alias("_at"), *extra)
-    if out is None:
-        out = found
+        if depth > max_depth or not level.where("_at = root").isEmpty():
+            raise TooDeep(f"more than {max_depth} levels, or a directory below itself")
+        heads = heads.unionByName(level)
+    out = heads.join(files, files["parent_id"] == heads["_at"]).select("root", (F.col("_above") + 1).alias("depth"), *files.columns, *value)
+    if depth > max_depth and not (out := cut(out)).where(F.col("depth") > max_depth).isEmpty():
+        raise TooDeep(f"more than {max_depth} levels")
     return out
 
 
+def found_paths(files: DataFrame, wanted: DataFrame, parent_id: int = ROOT_ID) -> DataFrame:
+    """``(path, id, mode)`` of those of the clean paths ``(path)``, and of all their prefixes, that exist below a parent.
+
+    Files that bear a wanted name are taken out of the tree once; then each level of the paths meets them by parent and
+    name. So what is looked up costs one pass over the files, not the paths of the whole tree."""
+    parts = F.split("path", "/")
+    upto = F.transform(parts, lambda s, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
+    needed = cut(wanted.select(F.explode(upto).alias("path")).distinct().select("path", F.size(F.split("path", "/")).alias("n"), paths.basename(F.col("path")).alias("name"), F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("").alias("above")))
+    levels = needed.agg(F.max("n")).first()[0] or 0
+    known = cut(files.select("id", "parent_id", "name", "mode").join(needed.select("name").distinct(), "name", "left_semi"))
+    above = files.sparkSession.range(1).select(F.lit("").alias("above"), F.lit(parent_id).cast("long").alias("parent_id"))
+    out = None
+    for n in range(1, levels + 1):
+        level = needed.where(F.col("n") == n).join(above, "above").join(known, ["parent_id", "name"]).groupBy("path").agg(F.min(F.struct("id", "mode")).alias("f")).select("path", "f.*")
+        level = cut(level)
+        out = level if out is None else out.unionByName(level)
+        above = level.select(F.col("path").alias("above"), F.col("id").alias("parent_id"))
+    return out if out is not None else known.select(F.col("name").alias("path"), "id", "mode").limit(0)
+
+
 def ancestors(files: DataFrame, ids: DataFrame, max_levels: int = MAX_ANCESTORS) -> DataFrame:
     """``(start, steps, *file columns)``: each id ``(id)`` and its ancestors; order by steps descending for the root first.
 
@@ -112,9 +133,8 @@ def full_paths(files: DataFrame) -> DataFrame:
 
 def resolve(files: DataFrame, wanted: DataFrame, parent_id: int = ROOT_ID) -> DataFrame:
     """``(path, id)`` of each wanted ``(path)`` below a parent; null where there is none or the path has a backslash."""
-    root = files.sparkSession.range(1).select(F.lit(parent_id).cast("long").alias("root"))
-    known = descendants(files, root, carry=F.lit(""), extend=F.concat(F.col("carried"), F.when(F.col("carried") == "", "").otherwise("/"), F.col("name")))
     key = F.array_join(paths.segments(paths.clean(F.col("path"))), "/")
     named = wanted.withColumn("_key", F.when(~F.col("path").contains("\\"), F.regexp_replace(key, r"^\.$", "")))
-    found = named.join(known.select(F.col("carried").alias("_key"), "id"), "_key", "left")
+    known = found_paths(files, named.where("_key is not null and _key <> ''").select(F.col("_key").alias("path")), parent_id)
+    found = named.join(known.select(F.col("path").alias("_key"), "id"), "_key", "left")
     return found.select("path", F.when(F.col("_key") == "", F.lit(parent_id).cast("long")).otherwise(F.col("id")).alias("id"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfline.functions import paths, values
-from shelfline.plans.tree import full_paths
-from shelfline.schema import DIR_BIT, PERMISSION_BITS, ROOT_ID, UNLINKED, is_regular
+from shelfline.plans.stages import cut
+from shelfline.plans.tree import found_paths
+from shelfline.schema import DIR_BIT, PERMISSION_BITS, ROOT_ID, UNLINKED, is_dir, is_regular
 
 
 def orphan_positions(positions: DataFrame, tapes: DataFrame) -> DataFrame:
@@ -73,10 +74,11 @@ def link_new_positions(files: DataFrame, positions: DataFrame, tapes: DataFrame)
     linked = linked_positions(positions, files)
     open_ = unmatched_positions(positions, files, tapes)
     owner = open_.groupBy("_signature").agg(F.min_by(F.struct("target", "mode", "mod_time", "hash", "size", F.col("id").alias("owner")), "id").alias("o")).select("_signature", "o.*")
+    owner = cut(owner)
     # of two contents with one target the later one clashes
-    owner = owner.withColumn("_n", F.row_number().over(Window.partitionBy("target").orderBy("owner")))
-    taken = full_paths(files).select(F.col("full_path").alias("target"), F.col("id").alias("_taken"))
-    owner = owner.join(taken, "target", "left").withColumn("_clash", F.col("_taken").isNotNull() | (F.col("_n") > 1))
+    first = owner.groupBy("target").agg(F.min("owner").alias("_first"))
+    taken = found_paths(files, owner.select(F.col("target").alias("path"))).select(F.col("path").alias("target"), F.col("id").alias("_taken"))
+    owner = owner.join(first, "target").join(taken, "target", "left").withColumn("_clash", F.col("_taken").isNotNull() | (F.col("owner") > F.col("_first")))
     clashes = owner.where("_clash").select("target", "owner")
     new = owner.where(~F.col("_clash"))
     files_with_dirs, where = ensure_directories(files, new.select(F.regexp_replace("target", "/[^/]*$", "").alias("path")).distinct())
@@ -94,8 +96,6 @@ def numbered(rows: DataFrame, after: int, *order: str) -> DataFrame:
     """Ids after the given one, in a total order: ranks within range partitions plus the partitions' starts, so no
     task sees all rows."""
     ranged = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
-    from shelfline.plans.stages import cut
-
     ranged = cut(ranged)
     counts = ranged.groupBy("_part").count().orderBy("_part").collect()  # a number for each partition
     starts, total = {}, after
@@ -113,15 +113,10 @@ def ensure_directories(files: DataFrame, wanted: DataFrame, parent_id: int = ROO
 
     Missing segments are made with ids after the largest, in the order of their paths. A segment that exists as no
     directory is an error, as is an empty path."""
-    from shelfline.plans.stages import cut
-    from shelfline.plans.tree import descendants
-    from shelfline.schema import is_dir
-
     named = wanted.select("path", F.array_join(paths.segments(F.col("path")), "/").alias("_clean"))
     if not named.where(F.col("_clean") == "").isEmpty():
         raise ValueError("a directory needs a name")
-    root = files.sparkSession.range(1).select(F.lit(parent_id).cast("long").alias("root"))
-    known = descendants(files, root, carry=F.lit(""), extend=F.concat(F.col("carried"), F.when(F.col("carried") == "", "").otherwise("/"), F.col("name"))).select(F.col("carried").alias("_dir"), F.col("id").alias("_id"), "mode")
+    known = found_paths(files, named.select(F.col("_clean").alias("path")), parent_id).select(F.col("path").alias("_dir"), F.col("id").alias("_id"), "mode")
     needed = named.select(F.explode(paths.prefixes(F.col("_clean"))).alias("_dir")).distinct()
     if not needed.join(known.where(~is_dir(F.col("mode"))), "_dir", "left_semi").isEmpty():
         raise FileExistsError("a segment of the path is no directory")
