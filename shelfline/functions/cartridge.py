@@ -32,6 +32,8 @@ ATTRIBUTES = {
     "formatted_density": (0x0006, False),
     "written_mib": (0x0220, False),
     "read_mib": (0x0221, False),
+    "session_written_mib": (0x0222, False),
+    "session_read_mib": (0x0223, False),
     "manufacturer": (0x0400, True),
     "serial": (0x0401, True),
     "length_m": (0x0402, False),
@@ -78,7 +80,8 @@ def age_years(made: Column, now: Column) -> Column:
 
 
 def hours_minutes(minutes: Column) -> Column:
-    return F.format_string("%dh%02d", F.floor(minutes / 60), minutes % 60)
+    """Minutes below an hour as such; then hours and the minutes left, without leading zeros."""
+    return F.when(minutes < 60, F.format_string("%d min", minutes)).when(minutes >= 60, F.format_string("%dh%d", F.floor(minutes / 60), minutes % 60))
 
 
 def seconds_per_pass(minutes: Column, bands: Column, wraps: Column) -> Column:
@@ -100,5 +103,12 @@ def attribute_report(raw: DataFrame) -> DataFrame:
     return report.withColumns({
         "free_percent": free_percent(F.col("remaining_mib"), F.col("maximum_mib")),
         "fve": full_volume_equivalents(F.col("written_mib"), F.col("maximum_mib")),
+        "read_fve": full_volume_equivalents(F.col("read_mib"), F.col("maximum_mib")),
+        "session_fve": full_volume_equivalents(F.col("session_written_mib"), F.col("maximum_mib")),
+        "session_read_fve": full_volume_equivalents(F.col("session_read_mib"), F.col("maximum_mib")),
+        "fill_time": hours_minutes(F.col("fill_minutes")),
+        "passes": F.col("bands") * F.col("wraps"),
+        "pass_seconds": seconds_per_pass(F.col("fill_minutes"), F.col("bands"), F.col("wraps")),
+        "tracks_in_all": total_tracks(F.col("bands"), F.col("wraps"), F.col("tracks")),
         "type_name": medium_type(F.col("medium_type"), F.col("type_info")),
     })

@@ -36,20 +36,25 @@ def unsigned(data: Column) -> Column:
     return F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
 
 
+def lossy_text(data: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes a replacement character instead of an error."""
+    return F.make_valid_utf8(data.cast("string"))
+
+
 def ascii_text(data: Column) -> Column:
-    return F.rtrim(F.decode(data, "US-ASCII"))
+    return F.rtrim(lossy_text(data))
 
 
 def vendor_serial(data: Column) -> Column:
     """A vendor of 8 characters and the serial after it, both without spaces and NULs at their ends."""
-    text = F.decode(data, "US-ASCII")
+    text = lossy_text(data)
     part = lambda x: F.btrim(x, F.lit(" \0"))
     return F.struct(part(F.substring(text, 1, 8)).alias("vendor"), part(F.substring(text, 9, 1 << 20)).alias("serial"))
 
 
 def inquiry(data: Column) -> Column:
     """Vendor, model and firmware at their fixed places of a drive's reply."""
-    field = lambda at, n: F.btrim(F.decode(F.substring(data, at + 1, n), "US-ASCII"), F.lit(" \0"))
+    field = lambda at, n: F.btrim(lossy_text(F.substring(data, at + 1, n)), F.lit(" \0"))
     return F.struct(field(8, 8).alias("vendor"), field(16, 16).alias("model"), field(32, 4).alias("firmware"))
 
 

@@ -94,6 +94,17 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return rows.groupBy("name", "is_dir").agg(F.sum("size").alias("size"), F.max("mod_time").alias("mod_time")).orderBy("name")
 
 
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """``(name, is_dir, size, mod_time)`` of what lies right in a folder, in order of name: hidden names and empty folders too.
+
+    One listing of one folder, nothing below it is looked at; a file has no entries."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = fs.listStatus(at) if fs.getFileStatus(at).isDirectory() else []
+    rows = [(f.getPath().getName(), f.isDirectory(), f.getLen(), f.getModificationTime()) for f in found]
+    return spark.createDataFrame(rows, "name string, is_dir boolean, size long, millis long").select("name", "is_dir", "size", F.timestamp_millis("millis").alias("mod_time")).orderBy("name")
+
+
 def total_size(spark: SparkSession, root: str, every: bool = False) -> DataFrame:
     """The sum of the walk, or of every file below the folder."""
     return (every_file if every else walk)(spark, root).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
