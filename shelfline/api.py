@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfline import schema
 from shelfline.operators import jobs as job_ops
-from shelfline.operators import listing, mutations, scans
+from shelfline.operators import listing, mutations, scans, telemetry
 from shelfline.plans import restore, tree, trim
 from shelfline.plans.stages import cut
 from shelfline.sources import catalog_json, filesystem, logs
@@ -127,11 +127,15 @@ class Library:
         return new
 
     def job_dispatch(self, job_id: int, step: int) -> None:
-        """Takes a job to its next step, which sets its status; an illegal step is an error."""
+        """Takes a job to its next step, which sets its status; an illegal step is an error, as is finishing with work left.
+
+        Left are sources of an archive job, or tapes of a restore job, that aren't submitted."""
         job = scans.get(self.jobs, job_id).select(F.coalesce("state.archive.step", "state.restore.step").alias("step"), F.col("state.archive").isNotNull().alias("archive")).first()
         names = {v: k for k, v in schema.JOB_STEP.items()}
         if (names[job["step"]], names.get(step)) not in job_ops.TRANSITIONS:
             raise ValueError(f"step {step} can't follow {job['step']}")
+        if names[step] == "FINISHED" and (left := job_ops.work_left(scans.get(self.jobs, job_id)).first()["left"]):
+            raise ValueError(f"{left} sources or tapes are left")
         kind, hit = "archive" if job["archive"] else "restore", F.col("id") == job_id
         state = F.when(hit, F.col("state").withField(f"{kind}.step", F.lit(step))).otherwise(F.col("state"))
         status = F.when(hit, schema.JOB_STATUS[job_ops.STATUS_OF_STEP[names[step]]]).otherwise(F.col("status"))
@@ -143,21 +147,34 @@ class Library:
     def job_delete(self, ids: Sequence[int]) -> None:
         self.catalog.commit({"job": mutations.delete_jobs(self.jobs, ids, self.now_ns())})
 
-    def job_display(self, job_id: int, live: DataFrame) -> DataFrame:
-        """Live counts ``(id, copied_bytes, copied_files, speed)`` of a job that is being processed; else no row."""
+    def job_display(self, job_id: int, live: DataFrame | None = None, progress: DataFrame | None = None) -> DataFrame:
+        """The progress card of a job that is being processed, else no row.
+
+        Totals and what is submitted come from the job's state; live counts ``(id, copied_bytes, copied_files, speed)`` as given,
+        or from its progress events ``(job_id, t, bytes, files)``."""
         now = self.jobs.where((F.col("id") == job_id) & (F.col("status") == schema.JOB_STATUS["PROCESSING"]))
-        return live.join(now, "id", "left_semi")
+        if live is None:
+            live = telemetry.live_counts(progress) if progress is not None else self.spark.createDataFrame([], "id long, copied_bytes long, copied_files long, speed long")
+        archive = job_ops.archive_card(now.where("state.archive is not null").select("id", F.col("state.archive.sources").alias("sources")), live)
+        restored = job_ops.restore_card(now.where("state.archive is null").select("id", F.col("state.restore.tapes").alias("tapes")), live)
+        return archive.unionByName(restored, allowMissingColumns=True)
 
     def job_get_log(self, job_id: int, offset: int = 0) -> DataFrame:
-        return logs.log_tail(self.spark, f"{self.log_dir}/{job_id}.log", offset)
+        """From the job's log file, or from the folder that ``append_log`` keeps for it."""
+        single = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.log_dir}/{job_id}.log")
+        fs = single.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return logs.log_tail(self.spark, f"{self.log_dir}/{job_id}.log" if fs.exists(single) else logs.log_path(self.log_dir, job_id), offset)
 
     # Sources and the whole library
 
     def source_list(self, path: str = "") -> dict[str, DataFrame]:
+        """The folders above and the entries of a folder, as they are; a file has none."""
+        path = path.removeprefix("./")
         chain = self.spark.range(1).select(F.explode(filesystem.crumbs(F.lit(path))).alias("c")).select("c.*")
-        return {"chain": chain, "children": filesystem.listing(self.spark, f"{self.source_dir}/{path.strip('/')}")}
+        return {"chain": chain, "children": filesystem.entries(self.spark, f"{self.source_dir}/{path.strip('/')}")}
 
     def source_get_size(self, path: str = "") -> DataFrame:
+        path = path.removeprefix("./")
         return filesystem.total_size(self.spark, f"{self.source_dir}/{path.strip('/')}", every=True)
 
     def device_list(self, devices: Iterable[str]) -> DataFrame:

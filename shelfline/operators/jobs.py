@@ -95,6 +95,12 @@ def job_finished(tapes: DataFrame) -> DataFrame:
     return tapes.agg((~F.coalesce(F.bool_or(F.col("status") != SUBMITED), F.lit(False))).alias("finished"))
 
 
+def work_left(jobs: DataFrame) -> DataFrame:
+    """``(id, left)``: of an archive job the sources, of a restore job the tapes that aren't submitted."""
+    open_ = lambda xs: F.greatest(F.coalesce(F.size(F.filter(xs, lambda x: ~x["status"].eqNullSafe(F.lit(SUBMITED)))), F.lit(0)), F.lit(0))
+    return jobs.select("id", (open_("state.archive.sources") + open_("state.restore.tapes")).alias("left"))
+
+
 def remaining(sources: DataFrame) -> DataFrame:
     return sources.agg(F.coalesce(F.sum(F.when(F.col("status") != SUBMITED, 1).otherwise(0)), F.lit(0)).alias("remaining"))
 

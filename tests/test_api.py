@@ -48,6 +48,12 @@ def test_library(spark, tmp_path):
         lib.job_dispatch(job, schema.JOB_STEP["FINISHED"])
     live = spark.createDataFrame([(job, 1, 1, 1), (99, 1, 1, 1)], "id long, copied_bytes long, copied_files long, speed long")
     assert lib.job_display(job, live).count() == 1 and lib.job_display(99, live).count() == 0
+    progress = spark.createDataFrame([(job, now, 5, 1), (job, now + dt.timedelta(seconds=2), 9, 2)], "job_id long, t timestamp, bytes long, files long")
+    card = lib.job_display(job, progress=progress).first()
+    assert (card["total_files"], card["copied_files"], card["copied_bytes"], card["eta_s"]) == (4, 2, 9, 3)
+    lib.job_dispatch(job, schema.JOB_STEP["COPYING"])
+    with pytest.raises(ValueError, match="left"):
+        lib.job_dispatch(job, schema.JOB_STEP["FINISHED"])
     other = lib.job_create_archive("d")
     sources = lib.job_list(mget=[other]).first()["state"]["archive"]["sources"]
     assert [(s["source"]["path"], s["size"], s["status"]) for s in sources] == [(["one"], 5, 1)]
@@ -66,3 +72,17 @@ def test_library(spark, tmp_path):
     assert lib.source_list("d")["children"].first()["name"] == "one" and lib.source_list("d")["chain"].count() == 2
     assert [r["device"] for r in lib.device_list(["b", "a", "b"]).collect()] == ["a", "b"]
     assert lib.files.where(F.col("mode").isNull()).isEmpty()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from shelfline.__main__ import main
+
+    store = Catalog(spark, f"file://{tmp_path}/catalog")
+    store.commit({"file": spark.createDataFrame([(1, 0, "f", 0o644, None, None, 4, None)], schema.FILE)})
+    main(["export", f"file://{tmp_path}/catalog", str(tmp_path / "out"), "--types", "file,tape"])
+    whole = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).replace("\n", "")
+    assert whole == '{"files":[{"id":1,"name":"f","mode":420,"size":4}],"tapes":[]}'
+    raw = spark.createDataFrame([("c", 0x0405, bytearray(b"\x42")), ("c", 0x0001, bytearray((1000).to_bytes(8, "big")))], "cartridge string, command int, data binary")
+    raw.write.parquet(str(tmp_path / "attributes"))
+    main(["cartridge", str(tmp_path / "attributes")])
+    assert "LTO-2" in capsys.readouterr().out

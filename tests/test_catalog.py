@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfline import schema
+from shelfline.functions import values
 from shelfline.operators import jobs, listing, mutations, scans, telemetry
 from shelfline.plans import restore, tree, trim
 from shelfline.sources import catalog_json, filesystem
 from shelfline.sources.filesystem import crumbs, listing as list_folder, sources, total_size
-from shelfline.sources.logs import append_log, log_tail, write_report
-from shelfline.sources.snapshots import Catalog
+from shelfline.sources.logs import append_log, log_path, log_tail, write_report
+from shelfline.sources.snapshots import Catalog, ConcurrentCommit
 
 DIR, FILE = 0x80000000 | 0o777, 0o644
 T = [dt.datetime(2024, 1, d) for d in range(1, 29)]
@@ -243,10 +244,93 @@ def test_filesystem_and_logs(spark, tmp_path):
     out = str(tmp_path / "reports")
     write_report(spark.createDataFrame([("A", 1), ("B", 2)], "barcode string, n int"), out)
     write_report(spark.createDataFrame([("A", 3)], "barcode string, n int"), out)
-    assert sorted((r["barcode"], r["n"]) for r in spark.read.json(out).collect()) == [("A", 3), ("B", 2)]
-    append_log(spark.createDataFrame([(1, "l")], "job_id long, line string"), str(tmp_path / "logs"))
-    append_log(spark.createDataFrame([(1, "m")], "job_id long, line string"), str(tmp_path / "logs"))
-    assert spark.read.text(str(tmp_path / "logs")).count() == 2
+    assert {p.name: p.read_text() for p in (tmp_path / "reports").glob("*.log")} == {"A.log": '{"n":3}\n', "B.log": '{"n":2}\n'}
+    for lines in ([(1, "l"), (2, "x")], [(1, "m"), (1, "n")]):
+        append_log(spark.createDataFrame(lines, "job_id long, line string"), str(tmp_path / "logs"))
+    first = log_tail(spark, log_path(str(tmp_path / "logs"), 1), 0, limit=3).first()
+    assert tuple(first) == ("l\nm", 3) and tuple(log_tail(spark, log_path(str(tmp_path / "logs"), 1), 3).first()) == ("\nn\n", 6)
+    assert log_tail(spark, log_path(str(tmp_path / "logs"), 2)).first()["text"] == "x\n"
+
+
+def test_entries_of_one_folder(spark, tmp_path):
+    for name in ("empty", "_dir", ".git"):
+        (tmp_path / name).mkdir()
+    for name, n in (("a.txt", 3), (".env", 2), ("_dir/deep", 9)):
+        (tmp_path / name).write_bytes(b"q" * n)
+    got = [(r["name"], r["is_dir"], None if r["is_dir"] else r["size"]) for r in filesystem.entries(spark, str(tmp_path)).collect()]
+    assert got == [(".env", False, 2), (".git", True, None), ("_dir", True, None), ("a.txt", False, 3), ("empty", True, None)]
+    assert filesystem.entries(spark, str(tmp_path / "a.txt")).count() == 0
+
+
+def test_log_bytes(spark, tmp_path):
+    """Offsets inside a character, a character still being written, and bytes that are no text."""
+    log = tmp_path / "1.log"
+    log.write_bytes("aé€\U0001f600".encode() + b"\x80b")
+    assert tuple(log_tail(spark, str(log), 2).first()) == ("\ufffd€\U0001f600\ufffdb", 12)
+    assert tuple(log_tail(spark, str(log), 0, limit=2).first()) == ("a", 1)
+    assert tuple(log_tail(spark, str(log), 1, limit=4).first()) == ("é", 3)
+    log.write_bytes(b"ab\xe2\x82")
+    assert tuple(log_tail(spark, str(log)).first()) == ("ab", 2)
+    with log.open("ab") as f:
+        f.write(b"\xac")
+    assert tuple(log_tail(spark, str(log), 2).first()) == ("€", 5)
+    with pytest.raises(FileNotFoundError):
+        log_tail(spark, str(tmp_path / "none.log"))
+
+
+def test_document_of_parts(spark, tmp_path):
+    f, t = files(spark, [(-1, 0, ".Trash", DIR), (1, 0, "f", FILE, 4), (7, -1, "g", FILE)]), tapes(spark, 1, 2)
+    catalog_json.write_document({"file": f, "tape": t}, str(tmp_path / "doc"), ["file", "tape"])
+    whole = tmp_path / "doc.json"
+    whole.write_text("".join(p.read_text() for p in sorted((tmp_path / "doc").glob("part-*"))))
+    back = catalog_json.import_document(spark, str(whole))
+    assert sorted(r["id"] for r in back["file"].collect()) == [-1, 1, 7] and back["tape"].count() == 2
+    again = catalog_json.import_rows(catalog_json.export_rows({"file": f, "tape": t}, ["file", "tape"]))
+    assert sorted(map(repr, again["file"].collect())) == sorted(map(repr, back["file"].collect()))
+
+
+def test_commits_at_one_time(spark, tmp_path):
+    """Two writers of two tables both stand; of one table the later is refused; a pointer is whole or not there."""
+    root = f"file://{tmp_path}/catalog"
+    one, two = Catalog(spark, root), Catalog(spark, root)
+    one.commit({"tape": tapes(spark, 1), "file": files(spark, [(1, 0, "f", FILE)])})
+
+    class Between(Catalog):
+        def versions(self):
+            now = super().versions()
+            two.commit({"tape": tapes(spark, 1, 2)})
+            return now
+
+    Between(spark, root).commit({"file": files(spark, [(1, 0, "f", FILE), (2, 0, "g", FILE)])})
+    assert one.read("tape").count() == 2 and one.read("file").count() == 2
+    with pytest.raises(ConcurrentCommit):
+        Between(spark, root).commit({"tape": tapes(spark, 9)})
+    assert one.read("tape").count() == 2
+    number, _ = one._latest()
+    assert not one._publish(number, {}) and one._latest()[0] == number
+    (tmp_path / "catalog" / "new-broken").write_text("{")  # what a crash between the steps leaves
+    assert one.read("file").count() == 2
+
+
+def test_cover_by_classes_and_by_rounds(spark):
+    """A thousand tapes: both ways give the same steps, and every file is covered."""
+    pairs = spark.range(6000).select(F.explode(F.array(F.pmod(F.xxhash64("id"), F.lit(1000)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(7)) + 2000)).alias("tape_id"), (F.col("id") % 3000).alias("file_id")).distinct()
+    got = restore.greedy_cover(pairs)
+    assert got.select("file_id").distinct().count() == got.count() == 3000
+    few = pairs.where("tape_id < 30 or tape_id = 2001")
+    assert sorted(map(tuple, restore.greedy_cover(few).collect())) == sorted(map(tuple, restore.greedy_cover(few, driver_entries=0).collect()))
+
+
+def test_a_cycle_is_reported(spark):
+    tree_ = files(spark, [(1, 2, "a", DIR), (2, 1, "b", DIR), (3, 2, "c", FILE)])
+    with pytest.raises(tree.TooDeep):
+        tree.descendants(tree_, spark.createDataFrame([(1,)], "root long")).collect()
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.createDataFrame([(bytearray(b"\x80VENDOR \x00SER\xff \x00"),)], "b binary")
+    row = df.select(values.ascii_text(F.col("b")).alias("t"), values.vendor_serial(F.col("b")).alias("v"), values.inquiry(F.col("b")).alias("q")).first()
+    assert row["t"].startswith("\ufffdVENDOR") and row["v"]["serial"].startswith("SER")
 
 
 def test_walk_takes_hidden_files(spark, tmp_path):
