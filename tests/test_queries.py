@@ -23,30 +23,3 @@ def test_entry_points(spark):
     assert entry.entry(spark).columns == ["id", "path", "size", "write_time"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(q.QUERIES) <= set(entry.queries())
-
-
-def test_restore_plan_against_brute_force(spark, sf_dir):
-    rows = q.restore_plan(spark, sf_dir).collect()
-    from shelfline import derive as d
-
-    wanted = {r["id"]: r for r in d.part_files(spark, sf_dir).where("id % 10 = 1").collect()}
-    wanted = {k: r for k, r in wanted.items() if r["mode"] < 0x80000000}
-    live = {r["id"] for r in d.tapes(spark, sf_dir).collect()}
-    held: dict[int, set] = {}
-    first: dict[tuple, tuple] = {}
-    for p in d.positions(spark, sf_dir).collect():
-        if p["tape_id"] in live and p["file_id"] in wanted:
-            held.setdefault(p["tape_id"], set()).add(p["file_id"])
-            key = (p["tape_id"], p["file_id"])
-            first[key] = min(first.get(key, (p["id"], p["path"])), (p["id"], p["path"]))
-    expected, step, done = [], 0, set()
-    while True:
-        left = {t: f - done for t, f in held.items() if f - done}
-        if not left:
-            break
-        tape = min(left, key=lambda t: (-len(left[t]), t))
-        files = sorted(left[tape], key=lambda f: (first[tape, f][1].replace("/", "\0"), f))
-        expected += [(step, tape, n, f, *first[tape, f]) for n, f in enumerate(files, 1)]
-        done |= left[tape]
-        step += 1
-    assert [(r["step"], r["tape_id"], r["seq"], r["file_id"], r["position_id"], r["tape_path"]) for r in rows] == expected
