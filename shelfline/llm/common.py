@@ -37,10 +37,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def application_dir(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes all tables that this application has materialized; DataFrames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,37 +8,56 @@ is judged on the input, not on what is left. Lines without words stay.
 1. Equal lines fall together by a pre-aggregated grouping that keeps the earliest.
 2. An edit spares the first or the last ``min_words / 2`` words, so only lines that share such a run with another line
    go on. This is exact.
-3. After the same test on halves of whole lines, those left emit all variants within the bound: themselves, and themselves without their i-th word, as hashed keys made
-   from running XORs, so a line of n words costs n steps. Changed words meet at one key of both lines' i-th variants,
-   added words where a whole line equals a variant.
+3. After the same test on halves of whole lines, those left emit all variants within the bound: themselves, and
+   themselves without their i-th word, as hashed keys made from running XORs inside the row, so a line of n words costs
+   some n steps. Changed words meet at one key of both lines' i-th variants, added words where a whole line equals a variant.
 4. In a bucket of changed words all are checked against the earliest; a whole line against each variant that equals it.
    So a bucket of n lines makes n pairs. The edit distance of each pair is verified on its words.
 
-No step expands a bucket into its pairs, and no join has more than one row of a key on its smaller side.
+No step expands a bucket into its pairs, and no join has more than one row of a key on its smaller side. Both sides of
+the joins by line, run, half and variant come straight from a shuffle, so that a key of many rows is split by adaptive
+execution.
 
-Nulls: a null text has no lines and stays null; a null id is later than any other. Rows with one id and one text are the
-same line and don't remove each other; rows with one id and different texts are kept apart. An empty table gives an
-empty result. Carried columns keep their values; the operator's own have no clash, since only named columns are read.
+Nulls: a null text has no lines and stays null. Rows without an id are told apart by 94 bits of their text's hashes and
+come after all ids below 2^62, in order of those. Rows with one id and one text are the same line and don't remove each
+other; rows with one id and different texts are kept apart by 32 bits, in order of those. Within a document the earlier
+line stays. Texts and lines are taken whole, however long. An empty table gives an empty result. Carried columns keep
+their values; the operator's own have no clash, since only named columns are read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import NULL_ID, materialize
+from shelfline.llm.common import materialize
 
 SPACES = "[\x09-\x0d\x20]+"
+#: What must be made one space, or none at an end, before words can be told apart by single spaces.
+UNEVEN = "[\x09-\x0d]|  |^ | $"
 MIN_WORDS = 8
+#: Words whose running XOR is taken in one array.
+RUN = 64
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACES), lambda w: w != "")
+def even(line: Column) -> Column:
+    """The line's words with one space between them; most lines are so already."""
+    return F.when(line.rlike(UNEVEN), F.trim(F.regexp_replace(line, SPACES, " "))).otherwise(line)
+
+
+def running_xor(values: Column) -> Column:
+    """The XOR of an array's values up to each place, in runs of RUN values, so that long arrays aren't copied for each."""
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0).cast("long"))
+    upto = lambda xs: F.aggregate(xs, F.array().cast("array<bigint>"), lambda acc, x: F.array_append(acc, last(acc).bitwiseXOR(x)))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda k: upto(F.slice(values, k * RUN + 1, F.lit(RUN))))
+    before = F.concat(F.array(F.lit(0).cast("long")), upto(F.transform(runs, last)))
+    return F.flatten(F.zip_with(runs, before, lambda run, b: F.transform(F.coalesce(run, F.array().cast("array<bigint>")), lambda x: x.bitwiseXOR(b))))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The order of a row's document: its id, and a hash that tells rows of one id apart."""
-    return docs.withColumns({"own_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "own_hash": F.hash(F.col(text_col)).cast("long")})
+    """The order of a row's document: its id, or a hash from 2^62 on, and a hash that tells rows of one id apart."""
+    late = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text_col), 2))
+    return docs.withColumns({"own_id": F.coalesce(F.col(id_col).cast("long"), late), "own_hash": F.hash(F.col(text_col)).cast("long")})
 
 
 #: Bits of the map by which rows that no join can hit are kept out of its shuffle: 8 MB, whatever the size of the tables.
@@ -65,9 +84,10 @@ def marked(rows: DataFrame, map_: DataFrame, *keys: str) -> DataFrame:
 
 
 def _exploded(keyed: DataFrame, text_col: str) -> DataFrame:
+    """``(own_id, place, line)``: place holds the row's hash and the line's number, line its words with single spaces."""
     lines = keyed.select("own_id", "own_hash", F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     place = F.shiftleft("own_hash", 32).bitwiseOR(F.col("pos").cast("long"))
-    return lines.select("own_id", place.alias("place"), words_of(F.col("line")).alias("words"))
+    return lines.select("own_id", place.alias("place"), even(F.col("line")).alias("line"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -81,11 +101,12 @@ def within_one_edit(a: Column, b: Column) -> Column:
 def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """``(own_id, place)`` of each line that an earlier line duplicates; place holds the row's hash and the line's number."""
     keyed = _keyed(docs.select(id_col, text_col), id_col, text_col)
-    n, half = F.size("words"), min_words // 2
-    run = lambda tag, words: F.when(n >= min_words, F.xxhash64(F.lit(tag), words))
-    lines = _exploded(keyed, text_col).where(n > 0).select(
-        "own_id", "place", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), F.col("words")).alias("h2"),
-        run("first", F.slice("words", 1, half)).alias("first"), run("last", F.slice("words", -half, half)).alias("last"))
+    half = min_words // 2
+    words_in = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    run = lambda tag, words: F.when(F.col("n") >= min_words, F.xxhash64(F.lit(tag), words))
+    lines = _exploded(keyed, text_col).where("line <> ''").withColumn("n", words_in).select(
+        "own_id", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2"),
+        run("first", F.substring_index("line", " ", half)).alias("first"), run("last", F.substring_index("line", " ", -half)).alias("last"))
     lines = materialize(lines, "lines")
     earliest = lines.groupBy("h1", "h2").agg(F.min(F.struct("own_id", "place")).alias("low"), F.first("first").alias("first"), F.first("last").alias("last"), F.count("*").alias("copies"))
     earliest = materialize(earliest.select("h1", "h2", "low.*", "first", "last", "copies"), "earliest")
@@ -93,32 +114,32 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     equal = lines.join(repeated, ["h1", "h2"]).where("own_id > low_id or own_id = low_id and place > low_place").select("own_id", "place")
 
     runs = earliest.where("first is not null").select("own_id", "place", F.explode(F.array("first", "last")).alias("run"))
-    shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    shared = materialize(runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"), "shared-runs")
     chosen = materialize(runs.join(shared, "run").select("own_id", "place").distinct(), "chosen")
     texts = keyed.select("own_id", "own_hash", F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     texts = texts.select("own_id", F.shiftleft("own_hash", 32).bitwiseOR(F.col("pos").cast("long")).alias("place"), "line")
     texts = marked(texts, bit_map(chosen, "own_id", "place"), "own_id", "place").where("hit").drop("hit")
-    picked = texts.join(chosen, ["own_id", "place"]).select("own_id", "place", words_of(F.col("line")).alias("words")).distinct()
+    picked = texts.join(chosen, ["own_id", "place"]).select("own_id", "place", F.split(even(F.col("line")), " ").alias("words")).distinct()
     picked = materialize(picked, "picked")
 
     # of n words the first or the last half is spared; a line with one word more has the same halves one level below
+    n = F.size("words")
     level = lambda m: [F.xxhash64(F.lit("head"), m, F.slice("words", 1, F.floor(m / 2).cast("int"))), F.xxhash64(F.lit("tail"), m, F.slice("words", -(m - F.floor(m / 2)).cast("int"), (m - F.floor(m / 2)).cast("int")))]
     halves = picked.select("own_id", "place", F.explode(F.array(*level(n), *level(n - 1))).alias("half"))
-    twice = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    twice = materialize(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"), "shared-halves")
     picked = materialize(picked.join(halves.join(twice, "half").select("own_id", "place").distinct(), ["own_id", "place"]), "candidates")
 
-    # running XORs of the words' hashes at their places, and at the places before
-    parts = picked.select("own_id", "place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    parts = parts.select("own_id", "place", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("before"))
-    line = Window.partitionBy("own_id", "place")
-    upto = line.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    until_here, until_before, all_before = F.bit_xor("here").over(upto), F.bit_xor("before").over(upto), F.bit_xor("before").over(line)
-    variant = until_here.bitwiseXOR(F.col("here")).bitwiseXOR(all_before).bitwiseXOR(until_before)
-    variants = parts.select("own_id", "place", "n", "i", variant.alias("key"))
-    whole = picked.select("own_id", "place", F.size("words").alias("n"), F.aggregate(F.transform("words", lambda w, i: F.xxhash64(w, i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y)).alias("key"))
+    # XORs of the words' hashes at their places, up to each word, and at the places before, from each word on
+    hashed = picked.select("own_id", "place", n.alias("n"), F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("here"), F.transform("words", lambda w, i: F.xxhash64(w, i - 1)).alias("before"))
+    parts = hashed.select("own_id", "place", "n", running_xor(F.col("here")).alias("here"), running_xor(F.col("before")).alias("before"))
+    upto = lambda i: F.when(i > 0, F.get("here", i - 1)).otherwise(F.lit(0).cast("long"))
+    keys = F.transform("before", lambda b, i: upto(i).bitwiseXOR(F.get("before", F.col("n") - 1)).bitwiseXOR(b))
+    variants = parts.select("own_id", "place", "n", F.posexplode(keys).alias("i", "key"))
+    whole = parts.select("own_id", "place", "n", F.get("here", F.col("n") - 1).alias("key"))
 
     lead = F.min(F.struct("own_id", "place")).alias("low")
     crowds = variants.groupBy("key", "n", "i").agg(lead, F.count("*").alias("size")).where("size > 1").select("key", "n", "i", F.col("low.own_id").alias("a_id"), F.col("low.place").alias("a_place"))
+    crowds = materialize(crowds, "crowds")
     changed = variants.join(crowds, ["key", "n", "i"]).select("a_id", "a_place", F.col("own_id").alias("b_id"), F.col("place").alias("b_place"))
     added = variants.select("key", (F.col("n") - 1).alias("n"), F.col("own_id").alias("b_id"), F.col("place").alias("b_place")).join(whole.withColumnsRenamed({"own_id": "a_id", "place": "a_place"}), ["key", "n"])
     pairs = changed.unionByName(added.select("a_id", "a_place", "b_id", "b_place")).where("a_id <> b_id or a_place <> b_place").distinct()

@@ -241,3 +241,11 @@ def test_rows_of_one_id_with_different_texts(spark):
     assert sorted((n, t) for i, n, t in out if i is None) == [(1, ""), (2, "")]
     near = sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in minhash.near_duplicates(frame(spark, rows)).collect()), key=repr)
     assert near == sorted([(5, 5, True)] * 3 + [(6, 5, False), (7, 7, True)] + [(None, None, True)] * 2, key=repr)
+
+
+def test_scratch_is_dropped(spark):
+    df = common.materialize(spark.range(3).toDF("x"), "gone")
+    assert df.count() == 3
+    common.drop_scratch(spark)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(common.application_dir(spark))
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
