@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.llm.common import U64, components, hot_join, materialize, mix, narrow_batches, slices, text_words, window_hashes
+from shelfline.llm.lines import bit_map, marked
 
 BANDS, ROWS = 32, 4
 #: Members of a bucket that one task checks against its hubs.
@@ -106,6 +107,8 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(longs), BITMAP_LONGS).cast(pa.list_(pa.int64()))], names=["node", "members", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
+    # only texts that may be wanted go through the shuffle
+    texts = marked(texts, bit_map(wanted, "node"), "node").where("hit").drop("hit")
     return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, members array<long>, bits array<long>")
 
 
@@ -145,9 +148,10 @@ def _reaching(rows: DataFrame, percent: int) -> DataFrame:
     and the other's, reach percent times the other's size. So a row needs a size and a slack outside its group that
     suit its own; the best of each is found with the best group's and the best of all other groups'. A group's best come
     first, so that the best of all others is a second small grouping and the rows are joined once."""
-    groups = rows.groupBy("key", "n", "group").agg(F.min("n_shingles").alias("least"), F.max("slack").alias("most"))
-    top = groups.groupBy("key", "n").agg(F.min(F.struct("least", "group")).alias("small"), F.max(F.struct("most", "group")).alias("wide"))
-    others = groups.join(top, ["key", "n"]).groupBy("key", "n").agg(
+    groups = materialize(rows.groupBy("key", F.col("n").alias("members"), "group").agg(F.min("n_shingles").alias("least"), F.max("slack").alias("most")), "groups-of-buckets")
+    keys = ["key", "members"]
+    top = groups.groupBy(*keys).agg(F.min(F.struct("least", "group")).alias("small"), F.max(F.struct("most", "group")).alias("wide"), F.count("*").alias("n"))
+    others = hot_join(groups, top, keys, groups.count()).groupBy("key", F.col("members").alias("n")).agg(
         F.min(F.when(F.col("group") != F.col("small.group"), F.col("least"))).alias("next_small"), F.max(F.when(F.col("group") != F.col("wide.group"), F.col("most"))).alias("next_wide"),
         F.first("small").alias("small"), F.first("wide").alias("wide"))
     rows_ = sliced(rows, others)
