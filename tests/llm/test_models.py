@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import math
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from shelfline.llm import language, quality, registry, tool_calls
+from shelfline.llm import common, language, quality, registry, tool_calls
 from tests.compare import connection, same
 
 LARGER = "/root/testdata/sf0.01"
@@ -43,6 +46,105 @@ def test_quality_edges(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_risk_and_its_direction():
+    """The risk as its formula says, and its gradient by differences; below zero the part of negatives is turned round."""
+    rng = np.random.default_rng(3)
+    loss = lambda g: math.log1p(math.exp(-g))
+    for shift, below in ((0.0, False), (-6.0, True)):
+        g, n_p, prior = rng.normal(size=12), 5, 0.7
+        g[n_p:] += shift
+        rest = sum(loss(-x) for x in g[n_p:]) / 7 - prior * sum(loss(-x) for x in g[:n_p]) / n_p
+        assert (rest < 0) == below
+        value, dg = quality.non_negative_risk(g, n_p, prior)
+        assert abs(value - (prior * sum(map(loss, g[:n_p])) / n_p + max(0.0, rest))) < 1e-12
+
+        def part(x, below=below, n_p=n_p, prior=prior):
+            neg = np.logaddexp(0, x)[n_p:].mean() - prior * np.logaddexp(0, x)[:n_p].mean()
+            return -neg if below else prior * np.logaddexp(0, -x[:n_p]).mean() + neg
+
+        for k in range(12):
+            step = np.zeros(12)
+            step[k] = 1e-6
+            assert abs((part(g + step) - part(g - step)) / 2e-6 - dg[k]) < 1e-8
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.8])
+def test_prior_from_positives_and_unlabelled(prior):
+    """No negative label is seen: the prior comes from two samples alone."""
+    rng = np.random.default_rng(int(10 * prior))
+    good = lambda n: rng.normal(2.0, 1, (n, 6))
+    bad = lambda n: rng.normal(-1.0, 1, (n, 6))
+    k = int(3000 * prior)
+    mixed = rng.permutation(np.concatenate([good(k), bad(3000 - k)]))
+    assert abs(quality.estimate_prior(good(2000), mixed) - prior) < 0.05
+
+
+def test_very_long_texts_in_blocks(monkeypatch):
+    """Features, n-grams and shingles of one long text are the same in blocks, and a batch is cut by bytes."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}, Än\n" for x in rng.integers(0, 900, 20_000)), "", None, "short one", "x"]
+    whole = quality.features(texts)
+    monkeypatch.setattr(quality, "_BLOCK", 1000)
+    assert np.array_equal(quality.features(texts), whole)
+    alone = np.concatenate([quality.features([t]) for t in texts])
+    assert np.allclose(alone, whole)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = list(common.slices(batch, 0, rows=2, size=100))
+    assert [p.num_rows for p in parts] == [1, 2, 2] and [x for p in parts for x in p.column(0).to_pylist()] == texts
+    counts = common.text_words(texts)[1].tolist()
+    assert counts == [len((t or "").split()) for t in texts]
+
+
+def brute_mixture(grams, table, steps, penalty):
+    """The same inference for one document, in plain Python."""
+    langs, total = table.shape[1], sum(n for _, n in grams)
+
+    def fit(chosen):
+        share = [1 / len(chosen) if k in chosen else 0.0 for k in range(langs)]
+        for _ in range(steps if len(chosen) > 1 else 0):
+            new = [0.0] * langs
+            for code, n in grams:
+                mixed = sum(share[k] * table[code, k] for k in chosen)
+                for k in chosen:
+                    new[k] += n * share[k] * table[code, k] / mixed
+            share = [x / total for x in new]
+        return share, sum(n * math.log(sum(share[k] * table[code, k] for k in chosen)) for code, n in grams)
+
+    every, value = fit(range(langs))
+    order = sorted(range(langs), key=lambda k: (-every[k], k))
+    options = [(every, -2 * value + penalty * (langs - 1) * math.log(max(total, 2)))]
+    for size in range(langs - 1, 0, -1):
+        share, value = fit(sorted(order[:size]))
+        options.append((share, -2 * value + penalty * (size - 1) * math.log(max(total, 2))))
+    best = options[0]
+    for o in options[1:]:
+        best = o if o[1] <= best[1] else best
+    return best[0]
+
+
+def test_inference_against_brute_force():
+    rng = np.random.default_rng(2)
+    table = rng.dirichlet(np.full(200, 0.3), size=3).T + 1e-6
+    doc, code, count, grams = [], [], [], []
+    for i in range(40):
+        own = rng.dirichlet(np.full(3, 0.4))
+        drawn, n = np.unique(rng.choice(200, size=int(rng.integers(20, 900)), p=(table @ own) / (table @ own).sum()), return_counts=True)
+        grams.append(list(zip(drawn.tolist(), n.tolist(), strict=True)))
+        doc += [i] * len(drawn)
+        code += drawn.tolist()
+        count += n.tolist()
+    got = language.infer(np.array(doc), table[code], np.array(count, float), 40, steps=12, penalty=5.0)
+    want = np.array([brute_mixture(g, table, 12, 5.0) for g in grams])
+    assert np.allclose(got, want, atol=1e-9)
+    assert 1 in (want > 0).sum(1) and 2 in (want > 0).sum(1)
+
+
+def test_languages_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"text of some words {i}", f"l{i % 9}") for i in range(90)] + [(100 + i, "more words", "l0") for i in range(20)], "doc_id long, text string, lang string")
+    langs, table = language.learn(docs, languages=3)
+    assert langs == ["l0", "l1", "l2"] and table.shape[1] == 3
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark, sf_dir):
     """Changing held-out labels, or langs, changes nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
