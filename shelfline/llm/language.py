@@ -6,11 +6,15 @@ likely languages are fitted in turn, and the set with the best penalised likelih
 language with the largest proportion in it, its score that proportion.
 
 Documents are inferred side by side, as rows (document, n-gram, count) of a batch; whole texts are read. Learning takes
-about ``SAMPLE`` documents a language, chosen by a hash of their ids; the n-gram counts of these are summed by a
-grouping, so the driver gets one row a language and bucket.
+about ``SAMPLE`` documents a language, chosen by a hash of their ids, of the ``LANGUAGES`` languages that most documents
+have; the n-gram counts of these are summed by a grouping, so the driver gets at most one row a language and bucket, and
+the table that goes to the tasks has at most BUCKETS x LANGUAGES numbers.
 
 Nulls: a null text or one without a letter is ``und`` with score 0; a null lang is not learned from. Where nothing can
-be learned all is ``und``. An empty table gives an empty result; other columns are not read.
+be learned all is ``und``. Of equal proportions the first language by name is predicted, of equally frequent ones at the
+bound of ``LANGUAGES`` the first by name is learned. Texts are read whole, in slices of a bounded number of bytes; a
+longer text is taken alone. Equal texts have equal results. An empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -23,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import U64, crc_mod, mix
+from shelfline.llm.common import U64, crc_mod, mix, narrow_batches, slices
 
-SAMPLE, BUCKETS, STEPS, PENALTY, FOLDS = 2000, 1 << 15, 12, 24.0, 3
+SAMPLE, BUCKETS, STEPS, PENALTY, FOLDS, LANGUAGES = 2000, 1 << 15, 12, 24.0, 3, 128
 LETTER = re.compile(r"[^\W\d_]")
 #: Letters and bytes beyond ASCII stand for themselves, all else for a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -73,10 +77,10 @@ def infer(doc: np.ndarray, likelihood: np.ndarray, count: np.ndarray, docs: int,
     return best
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = FOLDS) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, folds: int = FOLDS, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
     """The languages, in order, and the probability of each bucket (buckets x languages) under each."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, folds) != 1)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = narrow_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (crc_mod(id_col, folds) != 1)).select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.empty((BUCKETS, 0))
@@ -88,8 +92,7 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         place = {lang: k for k, lang in enumerate(langs)}
         sums = np.zeros((len(langs), BUCKETS))
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1):
                 own = np.array([place[x] for x in part.column(0).to_pylist()])
                 doc, code, n = gram_counts(part.column(1).to_pylist())
                 np.add.at(sums, (own[doc], code), n)
@@ -110,8 +113,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            for batch in slices(whole, 1, 128):
                 texts = batch.column(1).to_pylist()
                 spoken = [bool(langs) and t is not None and LETTER.search(t) is not None for t in texts]
                 doc, code, n = gram_counts([t if s else "" for t, s in zip(texts, spoken, strict=True)])
@@ -122,5 +124,5 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], *, id_col: st
                 sets = [[(langs[k], float(p)) for k, p in enumerate(row) if p > 0] if s else [] for row, s in zip(share.tolist(), spoken, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], names=[id_col, "lang_pred", "score", "languages"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
+    chosen = narrow_batches(docs).select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, f"`{id_col}` long, lang_pred string, score double, languages map<string,double>").withColumn("held_out", crc_mod(id_col, folds) == 1)
