@@ -4,7 +4,9 @@ The ranks become a merge table of the tokenizers library: each byte stands as a
 splitting a token into two known ones is a merge at the token's place. Decoding reverses the byte table; a character
 that is split between tokens is whole again once their bytes are joined, and its tokens' character offsets overlap.
 
-Nulls: a null text is empty and has no ids. Repeated rows give repeated results; an empty table gives an empty one.
+Nulls: a null text is empty and has no ids. Texts are encoded whole; a task holds a slice of a bounded number of bytes,
+or one longer text, at a time. Repeated rows give repeated results, so there are no ties to break; an empty table gives
+an empty one.
 Other columns are kept out of the way: the result has the id column and the operator's own.
 """
 
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.llm.common import narrow_batches, slices
 from shelfline.llm.tokens import ByteEncoder, encoder
 
 
@@ -39,7 +42,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ByteEncoder, ranks_path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             ids = [_int_ids(own.encode(t or "")) for t in batch.column(1).to_pylist()]
             cols = [batch.column(0), pa.array(ids, pa.list_(pa.int32()))]
             if offsets:
@@ -47,7 +50,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                 cols.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))
             yield pa.RecordBatch.from_arrays(cols, names=[id_col, "ids", "offsets"][: len(cols)])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return narrow_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -73,7 +76,7 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(ByteEncoder, ranks_path, pattern)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = []
             for text in batch.column(1).to_pylist():
                 ids = own.encode(text or "")
@@ -82,4 +85,4 @@ def digest(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

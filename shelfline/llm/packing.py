@@ -6,10 +6,13 @@ cheapest sequence that still has room. Where none has room for all of it, a rema
 always fits in ceil(T / capacity) sequences and pads less than one of them.
 
 One pass tokenizes (mapInArrow) and one shuffle carries the remainders' ids, two bytes each where the vocabulary
-allows. A group holds a bounded number of documents, so no key is hot: copies of one row are spread by their count.
+allows. A group holds a bounded number of documents, so no key is hot: copies of one row are spread by how many came
+before in their task, which keeps a number for each row of an input split.
 
 Nulls: a null text is empty and packs as its end token alone; a null doc_id is packed like any other. Repeated rows
-are packed each. An empty table gives an empty result. Columns other than the two named are not read.
+are packed each. Remainders of equal length go by id, nulls last, then by their ids, and of equally cheap sequences the
+first is taken, so ties don't change the result. Texts are tokenized whole, however long, and only full sequences of them
+leave the task before the rest. An empty table gives an empty result. Columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfline.llm.common import narrow_batches, slices
 from shelfline.llm.tokens import WordEncoder, encoder
 
 CAPACITY, END_ID, GROUP_DOCS = 2048, 1, 4096
@@ -60,7 +64,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         encode = encoder(WordEncoder, tokenizer_path)
         narrow = "<u2" if max(encode.tokenizer.get_vocab_size(with_added_tokens=True), end_id) <= 1 << 16 else "<u4"
         end, seen = np.array([end_id], "<u4").tobytes(), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = encode.encode(text or "") + end
@@ -100,5 +104,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         table = pa.table(dict(zip(names, cols, strict=True)))
         return table if with_ids else table.drop(["ids"])
 
-    pieces = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tokenize, "group long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
+    pieces = narrow_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tokenize, "group long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
     return pieces.groupBy("group").applyInArrow(pack_group, SCHEMA + (", ids binary" if with_ids else ""))

@@ -7,6 +7,7 @@ each distinct part and join the ids; a text where the cut isn't sure goes to the
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 
@@ -14,8 +15,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Most parts that an encoder remembers.
-REMEMBERED = 700_000
+#: Most parts that an encoder remembers, in some 50 MB.
+REMEMBERED = 250_000
 
 
 def byte_chars() -> list[str]:
@@ -25,8 +26,17 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+# The normalizer and the pre-tokenizer for which words can be encoded one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordEncoder(dict):
-    """Ids of a lower-casing word BPE, as little-endian unsigned 32-bit bytes; keys are words (UTF-8) without ASCII white space."""
+    """Ids of a word BPE, as little-endian unsigned 32-bit bytes; keys are words (UTF-8) without ASCII white space.
+
+    Texts are cut into words only if the file has the normalizer and the pre-tokenizer above, which drop white space and
+    lower the case; with any other one each text goes to the library whole."""
 
     #: One run of Latin letters, then at most one run of ASCII signs: both pre-tokenize alone.
     SIMPLE = re.compile("([a-zà-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
@@ -38,6 +48,10 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            layout = json.load(f)
+        split = {"type": "Sequence", "pretokenizers": [WORD_SPLIT, BYTE_LEVEL]}
+        self.by_word = layout["normalizer"] == WORD_NORMALIZER and layout["pre_tokenizer"] == split and layout["post_processor"] is None
         self.chars = byte_chars()
         self.parts: dict[str, bytes] = {"": b""}
 
@@ -63,6 +77,8 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_word:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
