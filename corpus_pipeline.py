@@ -60,22 +60,33 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _unpack_columns(out.where((F.col("n_removed") == 0) | F.col("text").rlike(WORDS)), docs, F.col("n_removed") > 0)
 
 
+def _split(rows: DataFrame, few: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among a few, and all others, which then go through no join's shuffle."""
+    both = lines.marked(rows, lines.bit_map(few, key), key)
+    return both.where("hit").drop("hit"), both.where("not hit").drop("hit")
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more.
 
     A row's key is its id; where an id has several texts, all but one of them, and rows without an id, have a hash of id
-    and text from 2^62 on, so they come after all ids below that. Texts without words stay, with null ids each row."""
+    and text from 2^62 on, so they come after all ids below that. Texts without words stay, with null ids each row. Only
+    texts of ids with several texts, of documents that go, and of repeated rows are shuffled."""
     own = F.xxhash64("text")
     several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(own).alias(FIRST_TEXT), F.max(own).alias("_last"))
     several = materialize(several.where(F.col(FIRST_TEXT) < F.col("_last")).select("doc_id", FIRST_TEXT), "ids-of-several-texts")
     late = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2))
+    some, most = _split(docs, several, "doc_id")
     key = F.when(F.col("doc_id").isNull() | (own != F.col(FIRST_TEXT)), late).otherwise(F.col("doc_id").cast("long"))
-    keyed = docs.join(several, "doc_id", "left").withColumn(ROW_KEY, key).drop(FIRST_TEXT)
+    keyed = some.join(several, "doc_id", "left").withColumn(ROW_KEY, key).drop(FIRST_TEXT)
+    keyed = keyed.unionByName(most.withColumn(ROW_KEY, F.when(F.col("doc_id").isNull(), late).otherwise(F.col("doc_id").cast("long"))))
     empty = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
     named = keyed.where(~empty)
-    gone = minhash.near_duplicates(named, id_col=ROW_KEY).where(~F.col("kept")).select(ROW_KEY).distinct()
-    kept = named.join(gone, ROW_KEY, "left_anti").dropDuplicates([ROW_KEY])
-    return kept.unionByName(keyed.where(empty)).select(*docs.columns)
+    found = minhash.near_duplicates(named, id_col=ROW_KEY).groupBy(ROW_KEY).agg(F.bool_and("kept").alias("_stays"), F.count("*").alias("_rows"))
+    touched = materialize(found.where("not _stays or _rows > 1").select(ROW_KEY, "_stays"), "gone-or-repeated")
+    maybe, rest = _split(named, touched, ROW_KEY)
+    one = maybe.dropDuplicates([ROW_KEY]).join(touched, ROW_KEY, "left").where("_stays is null or _stays").drop("_stays")
+    return rest.unionByName(one).unionByName(keyed.where(empty)).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
