@@ -57,10 +57,13 @@ def move(files: DataFrame, file_id: int, parent_id: int, name: str) -> DataFrame
         raise FileNotFoundError(file_id)
     if (row["parent_id"], row["name"]) == (parent_id, name):
         return files
-    if parent_id != ROOT_ID:
-        line = ancestors(files, files.sparkSession.range(1).select(F.lit(parent_id).cast("long").alias("id"))).select("id")
-        if not line.where(F.col("id") == file_id).isEmpty():
+    at, seen = parent_id, set()
+    while at != ROOT_ID and at not in seen:  # point lookups up to the root, one a level
+        if at == file_id:
             raise ValueError("a directory can't move below itself")
+        seen.add(at)
+        above = files.where(F.col("id") == at).select("parent_id").first()
+        at = ROOT_ID if above is None else above["parent_id"]
     # (mover, its new parent, its new name), level by level
     todo = files.where(F.col("id") == file_id).select("id", F.lit(parent_id).cast("long").alias("_to"), F.lit(name).alias("_name"))
     moved, gone, times = None, None, None

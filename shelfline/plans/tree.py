@@ -34,9 +34,10 @@ def descendants(files: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH,
     while True:
         depth += 1
         level = cut(level.join(folders, folders["parent_id"] == level["_at"]).select("root", F.col("id").alias("_at"), F.lit(depth).alias("_above"), *value))
-        if level.isEmpty():
+        n, round_ = level.agg(F.count("*"), F.bool_or(F.col("_at") == F.col("root"))).first()
+        if not n:
             break
-        if depth > max_depth or not level.where("_at = root").isEmpty():
+        if depth > max_depth or round_:
             raise TooDeep(f"more than {max_depth} levels, or a directory below itself")
         heads = heads.unionByName(level)
     out = heads.join(files, files["parent_id"] == heads["_at"]).select("root", (F.col("_above") + 1).alias("depth"), *files.columns, *value)
@@ -60,6 +61,8 @@ def found_paths(files: DataFrame, wanted: DataFrame, parent_id: int = ROOT_ID) -
     for n in range(1, levels + 1):
         level = needed.where(F.col("n") == n).join(above, "above").join(known, ["parent_id", "name"]).groupBy("path").agg(F.min(F.struct("id", "mode")).alias("f")).select("path", "f.*")
         level = cut(level)
+        if n < levels and level.isEmpty():  # nothing lies below what isn't there
+            break
         out = level if out is None else out.unionByName(level)
         above = level.select(F.col("path").alias("above"), F.col("id").alias("parent_id"))
     return out if out is not None else known.select(F.col("name").alias("path"), "id", "mode").limit(0)

@@ -77,13 +77,16 @@ def link_new_positions(files: DataFrame, positions: DataFrame, tapes: DataFrame)
     owner = cut(owner)
     # of two contents with one target the later one clashes
     first = owner.groupBy("target").agg(F.min("owner").alias("_first"))
-    taken = found_paths(files, owner.select(F.col("target").alias("path"))).select(F.col("path").alias("target"), F.col("id").alias("_taken"))
-    owner = owner.join(first, "target").join(taken, "target", "left").withColumn("_clash", F.col("_taken").isNotNull() | (F.col("owner") > F.col("_first")))
+    folder = F.regexp_replace("target", "/[^/]*$", "")
+    # the targets, and their directories as ensure_directories names them
+    known = found_paths(files, owner.select(F.col("target").alias("path")).unionByName(owner.select(F.array_join(paths.segments(folder), "/").alias("path")).where("path <> ''")))
+    taken = known.select(F.col("path").alias("target"), F.col("id").alias("_taken"))
+    owner = cut(owner.join(first, "target").join(taken, "target", "left").withColumn("_clash", F.col("_taken").isNotNull() | (F.col("owner") > F.col("_first"))))
     clashes = owner.where("_clash").select("target", "owner")
     new = owner.where(~F.col("_clash"))
-    files_with_dirs, where = ensure_directories(files, new.select(F.regexp_replace("target", "/[^/]*$", "").alias("path")).distinct())
+    files_with_dirs, where = ensure_directories(files, new.select(folder.alias("path")).distinct(), known=known)
     first = files_with_dirs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = new.withColumn("path", F.regexp_replace("target", "/[^/]*$", "")).join(where, "path")
+    new = new.withColumn("path", folder).join(where, "path")
     new = numbered(new, first, "target")
     made = new.select("id", "parent_id", paths.basename(F.col("target")).alias("name"), "mode", "mod_time", "hash", "size", F.col("_signature").alias("signature"))
     placed = open_.join(made.select(F.col("signature").alias("_signature"), F.col("id").alias("_file")), "_signature").withColumn("file_id", F.col("_file")).select(*positions.columns)
@@ -108,15 +111,16 @@ def numbered(rows: DataFrame, after: int, *order: str) -> DataFrame:
     return ranged.withColumn("id", (start[F.col("_part")] + rank).cast("long")).drop("_part")
 
 
-def ensure_directories(files: DataFrame, wanted: DataFrame, parent_id: int = ROOT_ID, mode: int = PERMISSION_BITS) -> tuple[DataFrame, DataFrame]:
+def ensure_directories(files: DataFrame, wanted: DataFrame, parent_id: int = ROOT_ID, mode: int = PERMISSION_BITS, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``(files, where)``: the tree with every wanted directory ``(path)``, and ``(path, parent_id)`` with each one's own id.
 
     Missing segments are made with ids after the largest, in the order of their paths. A segment that exists as no
-    directory is an error, as is an empty path."""
+    directory is an error, as is an empty path. ``known`` is what found_paths tells of these paths, if that is known."""
     named = wanted.select("path", F.array_join(paths.segments(F.col("path")), "/").alias("_clean"))
     if not named.where(F.col("_clean") == "").isEmpty():
         raise ValueError("a directory needs a name")
-    known = found_paths(files, named.select(F.col("_clean").alias("path")), parent_id).select(F.col("path").alias("_dir"), F.col("id").alias("_id"), "mode")
+    known = found_paths(files, named.select(F.col("_clean").alias("path")), parent_id) if known is None else known
+    known = known.select(F.col("path").alias("_dir"), F.col("id").alias("_id"), "mode")
     needed = named.select(F.explode(paths.prefixes(F.col("_clean"))).alias("_dir")).distinct()
     if not needed.join(known.where(~is_dir(F.col("mode"))), "_dir", "left_semi").isEmpty():
         raise FileExistsError("a segment of the path is no directory")
