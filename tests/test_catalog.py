@@ -118,6 +118,18 @@ def test_deep_trees_and_cycles(spark):
         tree.descendants(loop, spark.createDataFrame([(1,)], "root long"), max_depth=5)
 
 
+def test_many_ids_are_not_broadcast(spark):
+    """The tables of 120,000 ids are some 1 MB of files: their rows, not their files, tell that they are no broadcast."""
+    n = 120_000
+    rows = spark.range(1, n + 1).select("id", F.lit(n + 1).alias("parent_id"), F.lit("f").alias("name"), F.lit(FILE).cast("long").alias("mode"))
+    folders = spark.range(n + 1, n + 3).select("id", (F.when(F.col("id") == n + 1, n + 2).otherwise(0)).cast("long"), F.lit("d"), F.lit(DIR).cast("long"))
+    files_ = rows.unionByName(folders.toDF(*rows.columns)).unionByName(spark.range(2 * n, 3 * n).select("id", (F.col("id") + n).alias("parent_id"), F.lit("f").alias("name"), F.lit(FILE).cast("long").alias("mode")))
+    files_ = files_.unionByName(spark.range(3 * n, 4 * n).select("id", F.lit(n + 2).cast("long").alias("parent_id"), F.lit("d").alias("name"), F.lit(DIR).cast("long").alias("mode")))
+    up = tree.ancestors(files_, files_.where(f"mode = {FILE}").select("id"))
+    assert "BroadcastHashJoin" not in up._jdf.queryExecution().executedPlan().toString()
+    assert {(r["steps"], r["broken"], r["count"]) for r in up.groupBy("steps", "broken").count().collect()} == {(0, False, 2 * n), (1, False, 2 * n), (2, False, 2 * n)}
+
+
 def test_restore_prunes_nested_roots(spark):
     f = files(spark, TREE)
     chosen = spark.createDataFrame([(1,), (2,), (3,), (6,), (6,)], "id long")
