@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that a join takes to all executors at once, some 10 MB; more are shuffled, however small their files are.
+FEW_IDS = 100_000
+
+
+def meeting(few: DataFrame, n: int) -> DataFrame:
+    """A side of ``n`` rows of a join: the rows decide between broadcast and merge, as a table's files can be a hundredth of its rows."""
+    return F.broadcast(few) if n <= FEW_IDS else few.hint("merge")
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Removes all tables that this application has cut; DataFrames that read them can't be used any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))

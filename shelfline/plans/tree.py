@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfline.functions import paths
-from shelfline.plans.stages import cut
+from shelfline.plans.stages import cut, meeting
 from shelfline.schema import ROOT_ID, is_dir
 
 MAX_DEPTH, MAX_ANCESTORS = 100, 32
@@ -68,15 +68,6 @@ def found_paths(files: DataFrame, wanted: DataFrame, parent_id: int = ROOT_ID) -
     return out if out is not None else known.select(F.col("name").alias("path"), "id", "mode").limit(0)
 
 
-#: Rows of ids that a join takes to all executors at once, some 10 MB; more are shuffled, however small their files are.
-FEW_IDS = 100_000
-
-
-def _meeting(few: DataFrame, n: int) -> DataFrame:
-    """A side of ``n`` rows of a join: the rows decide between broadcast and merge, as a table's files can be a hundredth of its rows."""
-    return F.broadcast(few) if n <= FEW_IDS else few.hint("merge")
-
-
 def ancestors(files: DataFrame, ids: DataFrame, max_levels: int = MAX_ANCESTORS) -> DataFrame:
     """``(start, steps, *file columns)``: each id ``(id)`` and its ancestors; order by steps descending for the root first.
 
@@ -85,7 +76,7 @@ def ancestors(files: DataFrame, ids: DataFrame, max_levels: int = MAX_ANCESTORS)
     most ``max_levels`` rows each, meet the starts by one join at the end."""
     row = F.struct(*files.columns)
     chosen = cut(ids.select(F.col("id").alias("_at")).where(F.col("_at") != ROOT_ID).distinct())
-    own = files.join(_meeting(chosen, chosen.count()), files["id"] == F.col("_at"), "left_semi").select(F.col("id").alias("start"), F.col("parent_id").alias("_up"), row.alias("own"))
+    own = files.join(meeting(chosen, chosen.count()), files["id"] == F.col("_at"), "left_semi").select(F.col("id").alias("start"), F.col("parent_id").alias("_up"), row.alias("own"))
     own = cut(own)
     level = cut(own.where(F.col("_up") != ROOT_ID).select(F.col("_up").alias("top")).distinct().withColumn("_at", F.col("top")))
     line = None
@@ -93,7 +84,7 @@ def ancestors(files: DataFrame, ids: DataFrame, max_levels: int = MAX_ANCESTORS)
         n = level.count()
         if not n:
             break
-        found = cut(files.join(_meeting(level, n), files["id"] == F.col("_at")).select("top", F.lit(steps).alias("steps"), F.col("parent_id").alias("_up"), row.alias("f")))
+        found = cut(files.join(meeting(level, n), files["id"] == F.col("_at")).select("top", F.lit(steps).alias("steps"), F.col("parent_id").alias("_up"), row.alias("f")))
         line = found if line is None else line.unionByName(found)
         level = found.where(F.col("_up") != ROOT_ID).select("top", F.col("_up").alias("_at"))
     first = F.struct(F.lit(0).alias("steps"), F.col("_up"), F.col("own").alias("f"))
@@ -101,7 +92,7 @@ def ancestors(files: DataFrame, ids: DataFrame, max_levels: int = MAX_ANCESTORS)
         chained = own.select("start", F.array(first).alias("chain"))
     else:
         chains = cut(line.groupBy("top").agg(F.collect_list(F.struct("steps", "_up", "f")).alias("rest")))
-        met = own.join(_meeting(chains, chains.count()), F.col("_up") == F.col("top"), "left")
+        met = own.join(meeting(chains, chains.count()), F.col("_up") == F.col("top"), "left")
         chained = met.select("start", F.when(F.col("rest").isNull(), F.array(first)).otherwise(F.concat(F.array(first), "rest")).alias("chain"))
     last = F.array_max(F.transform("chain", lambda x: F.struct(x["steps"], x["_up"])))["_up"]
     broken = (last != ROOT_ID) & (F.size("chain") < max_levels)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -333,6 +334,31 @@ def test_cover_by_classes_and_by_rounds(spark):
     assert sorted(map(tuple, restore.greedy_cover(few).collect())) == sorted(map(tuple, restore.greedy_cover(few, driver_entries=0).collect()))
 
 
+def test_cover_takes_many_tapes_a_round(spark):
+    """Few entries at once, few rounds, the steps of one tape at a time; a cut after some steps is a start of the whole."""
+    rows = sorted({(random.Random(f * 50 + k).randrange(300) * 3 + 5, f) for f in range(1200) for k in range(4)})
+    held: dict[int, set] = {}
+    for tape, f in rows:
+        held.setdefault(tape, set()).add(f)
+    expected = []
+    while left := {t: len(f) for t, f in held.items() if f}:
+        tape = min(left, key=lambda t: (-left[t], t))
+        taken = held[tape]
+        expected += [(len({e[0] for e in expected}), tape, f) for f in taken]
+        held = {t: f - taken for t, f in held.items()}
+    pairs = spark.createDataFrame(rows, "tape_id long, file_id long")
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("cover"))
+    spark.sparkContext.setJobGroup("cover", "cover")
+    try:
+        got = restore.greedy_cover(pairs, driver_entries=2500)
+        assert 0 < jobs() < len({e[0] for e in expected})
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert sorted(map(tuple, restore.greedy_cover(pairs, max_steps=9, driver_entries=500).collect())) == sorted(e for e in expected if e[0] < 9)
+    assert restore.greedy_cover(pairs.where("false")).count() == 0
+
+
 def test_a_cycle_is_reported(spark):
     tree_ = files(spark, [(1, 2, "a", DIR), (2, 1, "b", DIR), (3, 2, "c", FILE)])
     with pytest.raises(tree.TooDeep):
