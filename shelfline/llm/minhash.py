@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import U64, components, hot_join, materialize, mix, narrow_batches, slices, text_words, window_hashes
+from shelfline.llm.common import U64, components, hot_join, materialize, mix, narrow_batches, slices, text_words, tidy, window_hashes
 from shelfline.llm.lines import bit_map, marked
 
 BANDS, ROWS = 32, 4
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
                 keys = band_keys(super_minhash(doc, elements, len(sets), bands * rows), bands).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *map(pa.array, named), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64()))], names=["id", "n_shingles", "set1", "set2", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, n_shingles long, set1 long, set2 long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "id long, n_shingles long, set1 long, set2 long, keys array<long>")
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -109,7 +109,7 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     # only texts that may be wanted go through the shuffle
     texts = marked(texts, bit_map(wanted, "node"), "node").where("hit").drop("hit")
-    return texts.join(wanted, "node", "left_semi").mapInArrow(run, "node long, members array<long>, bits array<long>")
+    return texts.join(wanted, "node", "left_semi").mapInArrow(tidy(run), "node long, members array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import narrow_batches, slices
+from shelfline.llm.common import narrow_batches, slices, tidy
 from shelfline.llm.tokens import WordEncoder, encoder
 
 CAPACITY, END_ID, GROUP_DOCS = 2048, 1, 4096
@@ -104,5 +104,5 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
         table = pa.table(dict(zip(names, cols, strict=True)))
         return table if with_ids else table.drop(["ids"])
 
-    pieces = narrow_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tokenize, "group long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
+    pieces = narrow_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(tokenize, remembers=True), "group long, doc_id long, start long, length long, crc long, doc_tokens long, ids binary")
     return pieces.groupBy("group").applyInArrow(pack_group, SCHEMA + (", ids binary" if with_ids else ""))

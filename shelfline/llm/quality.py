@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfline.llm.common import crc_mod, narrow_batches, slices, text_words
+from shelfline.llm.common import crc_mod, narrow_batches, slices, text_words, tidy
 
 SAMPLE, FOLDS, THRESHOLD = 8000, 5, 0.3
 #: Kinds of bytes: other, space, line feed, lower, upper, digit, first and next bytes beyond ASCII, and signs of text or of markup.
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             for part in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in features(part.column(1).to_pylist())], pa.binary())], names=["trusted", "x"])
 
-    table = parts.mapInArrow(run, "trusted boolean, x binary").toArrow()
+    table = parts.mapInArrow(tidy(run), "trusted boolean, x binary").toArrow()
     x = np.frombuffer(b"".join(b.as_py() for b in table["x"]), np.float32).reshape(-1, WIDTH)
     trust = np.array(table["trusted"].to_pylist(), bool)
     if not trust.any() or trust.all():
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: dict | float, *, text_col: str = "text", carry
                 values = predict(model, features(part.column(part.num_columns - 1).to_pylist())) if isinstance(model, dict) else np.full(part.num_rows, model)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(values)], names=[*part.schema.names[:-1], score_col])
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), folds: int = FOLDS, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:

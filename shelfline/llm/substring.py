@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from shelfline.llm.common import NULL_ID, U64, materialize, narrow_batches, text_words, window_hashes
+from shelfline.llm.common import NULL_ID, U64, materialize, narrow_batches, text_words, tidy, window_hashes
 
 WINDOW = 13
 #: A perfect difference set: each residue mod 7 is a difference of two of its members.
@@ -78,7 +78,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, carry: list[str], chunk_
         if open_:
             yield stored(n, open_, held)
 
-    return chosen.mapInArrow(run, "chunk long, size long, payload binary")
+    return chosen.mapInArrow(tidy(run), "chunk long, size long, payload binary")
 
 
 class Chunk:
@@ -288,10 +288,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ca
     def by_chunk(answers: DataFrame, name: str) -> DataFrame:
         return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
-    anchors = materialize(stored.select("chunk", "payload").mapInArrow(ask_anchors, ASK).groupBy("bucket").applyInArrow(match_anchors, BITS), "anchors")
+    anchors = materialize(stored.select("chunk", "payload").mapInArrow(tidy(ask_anchors), ASK).groupBy("bucket").applyInArrow(match_anchors, BITS), "anchors")
     with_anchors = stored.join(by_chunk(anchors, "anchors"), "chunk", "left").select("chunk", "payload", "anchors")
-    windows = materialize(with_anchors.mapInArrow(ask_windows, ASK).groupBy("bucket").applyInArrow(match_windows, BITS), "windows")
+    windows = materialize(with_anchors.mapInArrow(tidy(ask_windows), ASK).groupBy("bucket").applyInArrow(match_windows, BITS), "windows")
     result = stored.join(by_chunk(anchors, "anchors"), "chunk", "left").join(by_chunk(windows, "windows"), "chunk", "left").select("payload", "anchors", "windows")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in carry), f"`{id_col}` long, `{text_col}` string, n_words long, n_removed long, kept_sha256 string"])
-    return result.mapInArrow(mark, schema)
+    return result.mapInArrow(tidy(mark), schema)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 
 import corpus_pipeline as p
+from shelfline.llm import common
 from shelfline.llm.common import materialize
 from tests.llm.test_dedup import brute_lines, brute_near, brute_substring
 
@@ -75,3 +78,13 @@ def test_near_stage_drops_only_near_duplicates(spark):
     assert texts == sorted([a, b, c, e], key=repr)
     assert [t for i, t in got if i is None and not (t and t.strip())] == [" ", None, None]
     assert (3, c) in got and (None, e) in got
+
+
+def test_a_worker_keeps_no_encoder_for_other_stages():
+    """As a task gets it, pickled: what packing remembers goes when another stage's task begins, and batches stay as they are."""
+    batch, same = pa.RecordBatch.from_pydict({"n": [1, 2]}), lambda batches: batches
+    sent = lambda **how: cloudpickle.loads(cloudpickle.dumps(common.tidy(same, **how)))
+    kept = common.REMEMBERED_BY_WORKER
+    kept["packing", "file"] = object()
+    assert list(sent(remembers=True)(iter([batch]))) == [batch] and kept
+    assert list(sent()(iter([batch]))) == [batch] and not kept
