@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, bands: i
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(node, members, bits)``: the whole shingle sets of the documents in ``wanted`` (node), and a bitmap of each by hash."""
+    """``(node, size, members, bits)``: the whole shingle sets of the documents in ``wanted`` (node), with size and a bitmap of each by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -104,29 +104,52 @@ def stored_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
                 for row, s in zip(bits, sets, strict=True):
                     row[mix(s + U64(99)) % U64(BITMAP_LONGS * 64)] = True
                 longs = np.packbits(bits, axis=1).view(">i8").astype(np.int64).ravel()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(longs), BITMAP_LONGS).cast(pa.list_(pa.int64()))], names=["node", "members", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(longs), BITMAP_LONGS).cast(pa.list_(pa.int64()))], names=["node", "size", "members", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
     # only texts that may be wanted go through the shuffle
     texts = marked(texts, bit_map(wanted, "node"), "node").where("hit").drop("hit")
-    return texts.join(wanted, "node", "left_semi").mapInArrow(tidy(run), "node long, members array<long>, bits array<long>")
+    return texts.join(wanted, "node", "left_semi").mapInArrow(tidy(run), "node long, size long, members array<long>, bits array<long>")
+
+
+def held(sets: DataFrame, column: str, nodes: DataFrame, node: str = "node") -> DataFrame:
+    """``(node, column)`` of the sets that a bitmap of the nodes in ``nodes`` hits: all of theirs and few others, without a shuffle."""
+    rows = marked(sets.select("node", F.col(column).alias("held")), bit_map(nodes.select(F.col(node).alias("node")), "node"), "node")
+    return rows.where("hit").select("node", F.col("held").alias(column))
+
+
+def at_most_common(n: Column, x: str, m: Column, y: str) -> Column:
+    """The most shingles that sets of n and m can share by their bitmaps x and y: a bit that only one has is a shingle that only that set has."""
+    only = lambda x, y: sum((F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITMAP_LONGS)), F.lit(0))
+    return F.least(n - only(x, y), m - only(y, x))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) without those that sizes and bitmaps rule out, so that no whole set travels for them."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"))
+    n, m = F.col("a_size"), F.col("b_size")
+    common = at_most_common(n, "a_bits", m, "b_bits")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * common >= percent * (n + m - common)).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose whole sets reach the threshold: 100 * intersection >= percent * union.
+    """Of the pairs (a, b), a stored table, those whose whole sets reach the threshold: 100 * intersection >= percent * union.
 
-    The sets meet pair by pair inside the JVM: no batch of them ever travels to a worker."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
+    The sets meet pair by pair inside the JVM: no batch of them ever travels to a worker. Only sets of the pairs are shuffled."""
+    side = lambda x, name: held(sets, "members", pairs, x).select(F.col("node").alias(x), F.col("members").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     n, m, common = F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y"))
     suits = 100 * F.least(n, m) >= percent * F.greatest(n, m)
     return both.where(F.when(suits, 100 * common >= percent * (n + m - common)).otherwise(False)).select("a", "b")
 
 
 def shared_sizes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(node, bits, shared)``: the bitmap, and how many shingles of each node (node, n_shingles) some other of the nodes has too."""
-    rows = sets.join(nodes.select("node"), "node", "left_semi").select(F.explode("members").alias("shingle"), "node")
+    """``(node, bits, shared)``: the bitmap, and how many shingles of each node (node, n_shingles) some other of the nodes has too, at least.
+
+    Sets of other nodes that ``held`` lets through may add to that, which is a bound either way; so no set is shuffled whole."""
+    rows = held(sets, "members", nodes).select(F.explode("members").alias("shingle"), "node")
     own = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").groupBy("node").agg(F.count("*").alias("own"))
-    return nodes.join(own, "node", "left").join(sets.select("node", "bits"), "node").select("node", "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
+    return nodes.join(own, "node", "left").join(held(sets, "bits", nodes), "node").select("node", "bits", (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("shared"))
 
 
 def _slices() -> Column:
@@ -166,7 +189,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows with one shingle set fall together first, by a pre-aggregated grouping. Of the distinct sets, those that share
     a band key are candidates: at the threshold 0.8 and 32 bands of 4 rows, 5 pairs in 100 million are missed. A band
     bucket isn't expanded into all its pairs. Its most central set (the one with most mass over all its buckets) is
-    checked against all members, and links group the sets. Buckets that still hold several groups go on:
+    checked against all members that its size and bitmap allow, and links group the sets. Buckets that still hold several
+    groups go on:
 
     * Of each set left in one, the shingles are counted that no other such set has. A set of n with s shared ones reaches
       at most s / (n + m - s) with a set of m; members that can't reach the threshold with any other group of their
@@ -176,7 +200,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     That ends when each bucket is one group or all that can be linked in it is checked. So a group of n near copies costs
     about n checks, and no link between two groups is lost. Every link is confirmed on whole sets. Buckets are split
-    into slices of their members, to which hubs are copied, so a bucket's size doesn't matter to a task.
+    into slices of their members, to which hubs are copied, so a bucket's size doesn't matter to a task. Keys that no other
+    set has and sets that no pair needs are kept out of shuffles by broadcast maps of a fixed size.
 
     Nulls: a null or empty text has an empty set and is linked with nothing. A null id has no links, a null component
     and is kept. Rows that share an id are one document with several texts. Of equal sizes and masses the smaller id
@@ -187,7 +212,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     real = own.where("n_shingles > 0 and id is not null")
     classes = materialize(real.groupBy("set1", "set2", "n_shingles").agg(F.min("id").alias("node"), F.first("keys").alias("keys"), F.count("*").alias("n")), "classes")
     exploded = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
-    crowds = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowds = materialize(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    # keys that no other set has don't go through the join's shuffle
+    exploded = marked(exploded, bit_map(crowds, "key"), "key").where("hit").drop("hit")
     members = materialize(hot_join(exploded, crowds, ["key"], classes.count() * bands), "buckets")
     mass = members.groupBy("node").agg(F.sum("n").alias("mass"))
     sets = materialize(stored_sets(docs, mass.select("node"), id_col, text_col, width), "sets")
@@ -195,11 +222,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     slice_ = F.pmod(F.xxhash64(F.lit(21), "node"), _slices()).cast("int")
     open_ = materialize(members.join(mass, "node").withColumns({"group": F.col("node"), "slice": slice_}), "members")
     lead = open_.groupBy("key", "n").agg(F.min(central).alias("hub")).select("key", "n", F.col("hub.node").alias("hub"))
-    pairs = sliced(open_, lead).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = possible(ordered(sliced(open_, lead).where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))), sets, percent)
     group, turn = None, 0
     u = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / F.lit(1 << 30)
     while True:
-        found = materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "verified")
+        found = materialize(verified(materialize(pairs, "pairs"), sets, percent), "verified")
         # what is grouped already goes on as one star a group
         links = found if group is None else found.unionByName(group.where("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b")))
         if group is None or not found.isEmpty():
@@ -210,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         now = materialize(sliced(now.drop("shared", "slack", "u", "bits"), several), "open")
         if now.isEmpty():
             break
-        shared = shared_sizes(now.groupBy("node").agg(F.first("n_shingles").alias("n_shingles")), sets)
+        shared = shared_sizes(materialize(now.groupBy("node").agg(F.first("n_shingles").alias("n_shingles")), "nodes"), sets)
         now = materialize(now.join(shared, "node").withColumns({"slack": (100 + percent) * F.col("shared") - percent * F.col("n_shingles"), "u": u}), "slack")
         open_ = materialize(_reaching(now, percent), "reaching")
         low, high = hubs * (8 ** (turn - 1) - 1), hubs * (8**turn - 1)
@@ -218,13 +246,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         leads = open_.where((F.col("u") * F.col("n") >= low) & (F.col("u") * F.col("n") < high))
         leads = leads.select("key", "n", F.col("node").alias("a"), F.col("group").alias("own"), F.col("u").alias("lead"), F.col("slack").alias("s"), F.col("n_shingles").alias("m"), F.col("bits").alias("lead_bits"))
-        possible = (F.col("slack") >= percent * F.col("m")) & (F.col("s") >= percent * F.col("n_shingles"))
-        possible &= (F.col("group") != F.col("own")) & ((F.col("u") > F.col("lead")) | (F.col("u") == F.col("lead")) & (F.col("node") > F.col("a")))
-        # a bit that only one bitmap has is a shingle that only that set has
-        only = lambda x, y: sum((F.bit_count(F.col(x)[k].bitwiseAND(F.bitwise_not(F.col(y)[k]))) for k in range(BITMAP_LONGS)), F.lit(0))
-        common = F.least(F.col("m") - only("lead_bits", "bits"), F.col("n_shingles") - only("bits", "lead_bits"))
-        possible &= 100 * common >= percent * (F.col("m") + F.col("n_shingles") - common)
-        pairs = sliced(open_, leads).where(possible).select("a", F.col("node").alias("b"))
+        suits = (F.col("slack") >= percent * F.col("m")) & (F.col("s") >= percent * F.col("n_shingles"))
+        suits &= (F.col("group") != F.col("own")) & ((F.col("u") > F.col("lead")) | (F.col("u") == F.col("lead")) & (F.col("node") > F.col("a")))
+        common = at_most_common(F.col("m"), "lead_bits", F.col("n_shingles"), "bits")
+        suits &= 100 * common >= percent * (F.col("m") + F.col("n_shingles") - common)
+        pairs = ordered(sliced(open_, leads).where(suits).select("a", F.col("node").alias("b")))
 
     # A class has the smallest id of its rows as its node, so joining on the set's name carries groups to all copies.
     name = ["set1", "set2", "n_shingles"]

@@ -228,6 +228,50 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(((x["doc_id"], x["n_shingles"], x["component_id"], x["kept"]) for x in out), key=repr) == brute_near(rows, 4, 80)
 
 
+def test_near_duplicates_shuffle_little(spark):
+    """Where no join is small enough to be broadcast, as at size: whole sets travel only for pairs that their bitmaps allow."""
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        kinds, none = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jsparkSession.sparkContext().statusStore().stageList(kinds, False, False, none, spark._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        before = shuffled()
+        minhash.near_duplicates(docs, width=4).write.format("noop").mode("overwrite").save()
+        total = sum(n for k, n in shuffled().items() if k not in before)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert 0 < total < size, total / size
+
+
+def test_bitmaps_rule_out_no_link(spark):
+    """Pairs of similar sets all stay, those of rows that share an id too; most others go."""
+    r = random.Random(9)
+    texts = {}
+    for i in range(0, 80, 2):
+        ws = [f"w{r.randrange(400)}" for _ in range(r.choice([3, 9, 60, 300]))]
+        texts[i] = [" ".join(ws)]
+        for k in range(r.choice([0, 1, 2, 7, 20])):
+            ws[r.randrange(len(ws))] = f"x{k}"
+        texts[i + 1] = [" ".join(ws), "another text of the same id"]
+    sets = minhash.stored_sets(frame(spark, [(i, t) for i, ts in texts.items() for t in ts]), spark.range(80).toDF("node"), "doc_id", "text", 2)
+    shingles = {i: [set(zip(ws, ws[1:], strict=False)) for ws in (t.split() for t in ts)] for i, ts in texts.items()}
+    linked = {(a, b) for a in texts for b in texts if a < b and any(100 * len(x & y) >= 80 * len(x | y) for x in shingles[a] for y in shingles[b])}
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "a long, b long")
+    left = {(x["a"], x["b"]) for x in minhash.possible(pairs, sets, 80).collect()}
+    assert linked <= left
+    assert len(left - linked) < 300
+    assert {(x["a"], x["b"]) for x in minhash.verified(pairs, sets, 80).collect()} == linked
+
+
 def test_super_minhash_estimates_similarity():
     import numpy as np
 
